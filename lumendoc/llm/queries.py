@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sentencepiece_codec
+from . import exact_dedup, quality_rules, sentencepiece_codec
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.encode_query,
     "op3_exact_dedup": exact_dedup.dedup_query,
+    "op6_quality_rules": quality_rules.rules_query,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.DEDUP_SQL,
+    "op6_quality_rules": quality_rules.RULES_SQL,
 }
