@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lm_scoring, mixing, quality_rules, sentencepiece_codec
+from . import exact_dedup, jaccard_join, lm_scoring, mixing, quality_rules, sentencepiece_codec
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.encode_query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_quality_rules": quality_rules.rules_query,
     "op8_mixing": mixing.mix_query,
     "op9_lm_scoring": lm_scoring.lm_query,
+    "op10_jaccard_join": jaccard_join.join_query,
 }
 
 ORACLES = {
