@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, lm_scoring, mixing, quality_rules, sentencepiece_codec
+from . import exact_dedup, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, sentencepiece_codec
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.encode_query,
     "op3_exact_dedup": exact_dedup.dedup_query,
+    "op4_quality_classifier": quality_classifier.classifier_query,
     "op6_quality_rules": quality_rules.rules_query,
     "op8_mixing": mixing.mix_query,
     "op9_lm_scoring": lm_scoring.lm_query,
