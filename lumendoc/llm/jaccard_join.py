@@ -83,6 +83,8 @@ class Bands:
 
         Where nothing may differ there is no cut, as equal sets are one.
         """
+        if not size:
+            return []
         k = self.of(size)
         below = [k - 1] if k and size <= self.reach(self.starts[k] - 1) else []
         return [(x, self.ranges[x]) for x in [k, *below] if self.ranges[x] > 1]
