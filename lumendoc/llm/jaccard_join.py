@@ -291,17 +291,23 @@ def _join(rows: DataFrame, percent: int, size: int) -> DataFrame:
     return rows.groupBy("bundle").applyInArrow(_joiner(percent, size), "rep long, root long")
 
 
+def _with_texts(plan: DataFrame, docs: DataFrame) -> DataFrame:
+    """The plan's rows with their texts, by sort-merge at any size (where texts
+    are many, Spark's runtime Bloom filter thins them out before the shuffle)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    return texts.hint("merge").join(plan, "rep").select(*plan.columns, "text")
+
+
 def verified_links(docs: DataFrame, members: DataFrame, percent: int, size: int, cluster_sets: int, cluster_members: int) -> DataFrame:
     """(rep, root) links of all clusters; members: rep, cluster, n_shingles."""
     sizes = materialize(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("members")), "cluster-sizes")
     big = (F.col("sets") > cluster_sets) | (F.col("members") > cluster_members)
     small_total, n_big = sizes.agg(F.sum(F.when(~big, F.col("members"))), F.count_if(big)).first()
     bundles = max(1, -(-(small_total or 0) // BUNDLE_MEMBERS))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
 
     small = members.join(sizes.where(~big).select("cluster"), "cluster")
     plan = materialize(small.select("rep", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(bundles)).alias("bundle"), F.lit(-1).cast("long").alias("known")), "cluster-plan")
-    links = _join(plan.join(texts, "rep"), percent, size)
+    links = _join(_with_texts(plan, docs), percent, size)
     if not n_big:
         return links
     links = materialize(links, "small-links")
@@ -313,7 +319,7 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, size: int,
     mine = large.where("rep <> cluster").select("rep", "cluster", block("rep", n_blocks).alias("block"))
     firsts = large.where("rep = cluster").select("rep", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), (n_blocks - 1).cast("long"))).alias("block"))
     plan = mine.unionByName(firsts).select("rep", "cluster", F.xxhash64("cluster", "block").alias("bundle"), F.lit(-1).cast("long").alias("known"))
-    begun = materialize(_join(materialize(plan, "block-plan").join(texts, "rep"), percent, size), "block-links")
+    begun = materialize(_join(_with_texts(materialize(plan, "block-plan"), docs), percent, size), "block-links")
 
     # then blocks of different components, two at a time
     comps = materialize(connected_components(begun), "block-components")
@@ -330,7 +336,7 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, size: int,
     placed = at.join(labelled.select("cluster", "known", "home"), ["cluster", "known"]).join(homes.select("cluster", "home", "n"), ["cluster", "home"])
     placed = placed.withColumn("k", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     plan = materialize(placed.join(tiles, ["cluster", "home", "k"]).select("rep", "cluster", "bundle", "known"), "tile-plan")
-    crossed = _join(plan.join(texts, "rep"), percent, size)
+    crossed = _join(_with_texts(plan, docs), percent, size)
     return links.unionByName(begun).unionByName(crossed)
 
 
