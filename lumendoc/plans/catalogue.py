@@ -1,4 +1,369 @@
-"""Registered queries of the remediation operators, and their SQL."""
+"""Registered queries of the remediation operators, and their SQL.
+
+The test tables hold plain prose, so structured Markdown, reviews and patches
+are synthesized from their columns by rules that SQL can follow.  Every query
+runs over its whole tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumendoc import model
+from lumendoc.functions import reviews as R
+from lumendoc.functions import text as X
+from lumendoc.model import STAGES
+from lumendoc.operators import apply, elements, gate, judge, loop, report, reviews, score, segment, service
+from lumendoc.sources import readers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+_WS = r"[\s\x0b\x1c-\x1f]"
+_STRIP = rf"regexp_replace({{}}, '^{_WS}+|{_WS}+$', '', 'g')"
+_SQUEEZE = lambda x: _STRIP.format(rf"regexp_replace({x}, '{_WS}+', ' ', 'g')")
+_ID = lambda x: f"'block-1-' || left(sha256({_SQUEEZE(f'left({x}, 200)')}), 8)"
+_ESC = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_LINES = rf"""
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+s AS (SELECT doc_id, k, {_STRIP.format("raw")} AS text FROM l),
+b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos, text FROM s WHERE text <> ''),
+e AS (SELECT doc_id, pos::int AS pos, CASE WHEN pos = 0 THEN 'h1' ELSE 'p' END AS kind, text, {_ID("text")} AS ir_id FROM b)
+"""
+
+
+@query(f"WITH {_LINES} SELECT doc_id, pos, kind, ir_id FROM e")
+def element_ids(spark, d):
+    """Blocks of every document with their identifiers."""
+    return segment.explode_blocks(segment.with_blocks(_t(spark, d, "documents").select("doc_id", "text")), "doc_id").select("doc_id", "pos", "kind", "ir_id")
+
+
+@query(f"WITH {_LINES} SELECT doc_id, ir_id, count(*) AS n FROM e GROUP BY ALL HAVING count(*) > 1")
+def duplicate_ids(spark, d):
+    return segment.duplicate_ids(element_ids(spark, d), "doc_id")
+
+
+@query(f"SELECT doc_id, sha256({_ESC.format('text')}) AS body, sha256(replace({_ESC.format('text')}, '\"', '&quot;')) AS attribute FROM documents")
+def html_escape(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.sha2(X.escape(F.col("text")), 256).alias("body"), F.sha2(X.escape_attribute(F.col("text")), 256).alias("attribute"))
+
+
+def _lines_sql() -> str:
+    lit = lambda xs: " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in xs)
+    block = f"'    <' || kind || ' data-ir-id=\"' || ir_id || '\">' || {_ESC.format('e.text')} || '</' || kind || '>'"
+    head = lit(segment.HEAD) + " || chr(10) || '  <title>' || 'Document' || '</title>' || chr(10) || " + lit(segment.STYLE + segment.MAIN)
+    return f"WITH {_LINES} SELECT d.doc_id, sha256({head} || chr(10) || coalesce(string_agg({block}, chr(10) ORDER BY pos) || chr(10), '') || {lit(segment.TAIL)}) AS html_sha256 FROM documents d LEFT JOIN e USING (doc_id) GROUP BY d.doc_id"
+
+
+@query(_lines_sql())
+def html_pages(spark, d):
+    """Whole pages built from documents."""
+    return segment.build_html(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.sha2("html", 256).alias("html_sha256"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, pos, kind AS tag, ir_id, sha256(text) AS text_sha256, false AS empty FROM e")
+def page_elements(spark, d):
+    """Elements read back from the pages."""
+    pages = segment.build_html(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "html")
+    return elements.element_table(pages, "doc_id").select("doc_id", "pos", "tag", "ir_id", F.sha2("text", 256).alias("text_sha256"), "empty")
+
+
+@query(f"WITH {_LINES} SELECT doc_id, count(DISTINCT ir_id)::int AS n_ids FROM e GROUP BY doc_id")
+def valid_ids(spark, d):
+    pages = segment.build_html(_t(spark, d, "documents").select("doc_id", "text"))
+    return pages.select("doc_id", F.size(elements.valid_ids(F.col("html"))).alias("n_ids"))
+
+
+_PIECES = r"list_filter(string_split_regex(md, '(?m)^---\s*$'), lambda p: NOT (contains(p, ':') AND contains(p, 'primary_language')) AND " + _STRIP.format("p") + " <> '')"
+_JOINED = f"array_to_string(list_transform({_PIECES}, lambda p: {_STRIP.format('p')}), chr(10) || chr(10))"
+_MATTER = "'---' || chr(10) || 'primary_language: ' || coalesce(lang, '') || chr(10) || '---' || chr(10) || text || chr(10) || '---  ' || chr(10) || ' tail ' || chr(10) || '---'"
+
+
+@query(f"SELECT doc_id, sha256({_STRIP.format(_JOINED)}) AS clean FROM (SELECT doc_id, {_MATTER} AS md FROM documents)")
+def front_matter_strip(spark, d):
+    md = F.concat(F.lit("---\nprimary_language: "), F.coalesce("lang", F.lit("")), F.lit("\n---\n"), F.col("text"), F.lit("\n---  \n tail \n---"))
+    return _t(spark, d, "documents").select("doc_id", F.sha2(X.strip_front_matter(md), 256).alias("clean"))
+
+
+def order_markdown(spark, d) -> DataFrame:
+    """One document an order: headings of three depths, a list and a table."""
+    items = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
+    deep = F.repeat(F.lit("#"), (F.col("doc_id") % 3 + 2).cast("int"))
+    bullets = F.array_join(F.transform("items", lambda x: F.concat(F.lit("- part "), x["l_partkey"].cast("string"))), "\n")
+    md = F.concat(F.lit("# Order "), F.col("doc_id").cast("string"), F.lit("\n\n## Lines\n"), bullets, F.lit("\n\n"), deep, F.lit(" Note\n<table>\n<tr><td>- "), F.size("items").cast("string"), F.lit("</td></tr>\n</table>\nTail & end"))
+    return items.select("doc_id", md.alias("text"))
+
+
+@query("""
+WITH n AS (SELECT l_orderkey AS doc_id, count(*)::bigint AS n FROM lineitem GROUP BY 1),
+k AS (SELECT doc_id, 'h1' AS kind, 1 AS n FROM n UNION ALL SELECT doc_id, 'h2', 1 FROM n UNION ALL SELECT doc_id, 'ul', 1 FROM n UNION ALL SELECT doc_id, 'li', n FROM n
+      UNION ALL SELECT doc_id, 'h' || (doc_id % 3 + 2), 1 FROM n UNION ALL SELECT doc_id, 'table', 1 FROM n UNION ALL SELECT doc_id, 'p', 1 FROM n)
+SELECT doc_id, kind, sum(n)::bigint AS n FROM k GROUP BY ALL""")
+def block_kinds(spark, d):
+    rows = segment.explode_blocks(segment.with_blocks(order_markdown(spark, d)), "doc_id")
+    return rows.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT l_orderkey AS doc_id, [1, 2, l_orderkey % 3 + 2]::int[]::varchar AS levels, (l_orderkey % 3 = 2)::int AS n_skips FROM lineitem")
+def heading_order(spark, d):
+    pages = segment.build_html(order_markdown(spark, d)).select("doc_id", elements.heading_levels(F.col("html")).alias("h"))
+    text = F.concat(F.lit("["), F.array_join(F.col("h").cast("array<string>"), ", "), F.lit("]"))
+    return pages.select("doc_id", text.alias("levels"), F.size(elements.heading_skips(F.col("h"))).alias("n_skips"))
+
+
+_COUNT = lambda tag: rf"len(regexp_extract_all(lower(html), '<{tag}[\s>/]'))"
+
+
+@query(f"SELECT page_id, {_COUNT('p')} AS n_p, {_COUNT('li')} AS n_li, {_COUNT('a')} AS n_a, {_COUNT('img')} AS n_img FROM pages")
+def tag_counts(spark, d):
+    return _t(spark, d, "pages").select("page_id", *(elements.tag_count(F.col("html"), t).alias(f"n_{t}") for t in ("p", "li", "a", "img")))
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?s)<[^>]*>', '', 'g'), '\S+')) AS words FROM pages")
+def page_word_count(spark, d):
+    return _t(spark, d, "pages").select("page_id", elements.word_count(F.col("html")).alias("words"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 AS c, 11 + o_orderkey % 20 AS w FROM orders)
+SELECT k AS doc_id, c NOT IN (1, 2, 3, 4) AS passed, CASE c WHEN 1 THEN 'text_coverage' WHEN 2 THEN 'table_structure' WHEN 3 THEN 'image_count' WHEN 4 THEN 'heading_order' ELSE '' END AS failed,
+       round(CASE WHEN c = 1 THEN 2.0 / w ELSE 1 END, 4)::double AS coverage FROM o""")
+def gate_verdict(spark, d):
+    """The gate on pages that lose a part by a rule."""
+    k, c = F.col("o_orderkey"), F.col("o_orderkey") % 5
+    words = lambda n: F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), n), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ")
+    html = lambda h, p, table, img: F.concat(F.lit("<html><body><h1>Order "), k.cast("string"), F.lit("</h1>"), h, F.lit("<p>"), p, F.lit("</p>"), table, img, F.lit("</body></html>"))
+    table, img, none, full = F.lit("<table><tr><td>x</td></tr></table>"), F.lit("<img alt='a'>"), F.lit(""), words(10 + k % 20)
+    pairs = _t(spark, d, "orders").select(
+        k.alias("doc_id"),
+        html(F.when(c == 4, "<h2></h2>").otherwise(""), full, table, img).alias("original"),
+        html(F.when(c == 4, "<h3></h3>").otherwise(""), F.when(c == 1, "w1").otherwise(full), F.when(c == 2, none).otherwise(table), F.when(c == 3, none).otherwise(img)).alias("patched"),
+    )
+    out = gate.run_gate(pairs)
+    measured = out.withColumn("o", elements.measure(F.col("original"))).withColumn("p", elements.measure(F.col("patched")))
+    return measured.select("doc_id", F.col("gate_passed").alias("passed"), F.array_join("gate_failed", ",").alias("failed"), gate.coverage(F.col("o.words"), F.col("p.words")).alias("coverage"))
+
+
+FIXES = (
+    'Add aria-label="Name {}" to it.', "Provide better alt text", 'Set ROLE = "list" now', 'role="checkbox"', 'aria-describedby="x"', 'lang="de"', "Fix the reading order", 'alt=""', "Rename altogether", 'Add role=""',
+)
+TAGS = ("table", "img", "p", None, "div")
+
+
+def _pick(c, values):
+    out = F.lit(None).cast("string")
+    for k, v in enumerate(values):
+        out = F.when(c == k, F.lit(v).cast("string")).otherwise(out)
+    return out
+
+
+def synthetic_issues(spark, d) -> DataFrame:
+    """One group a document: fix and element by its id."""
+    i = F.col("doc_id")
+    return _t(spark, d, "documents").select(
+        "doc_id", "lang", F.lit("issue").alias("issue"), F.replace(_pick(i % len(FIXES), FIXES), F.lit("{}"), i.cast("string")).alias("suggested_fix"),
+        _pick(F.floor(i / 10) % len(TAGS), TAGS).alias("tag"), (F.floor(i / 50) % 2 == 0).alias("empty"),
+    )
+
+
+_NAMES = "|".join(R.ATTRIBUTES)
+_CASE = lambda c, vs: f"CASE {c} " + " ".join(f"WHEN {k} THEN " + ("NULL" if v is None else "'" + v.replace("'", "''") + "'") for k, v in enumerate(vs)) + " END"
+_ISSUES = rf"""
+i AS (SELECT doc_id, lang, replace({_CASE(f"doc_id % {len(FIXES)}", FIXES)}, '{{}}', doc_id::varchar) AS fix, {_CASE(f"(doc_id // 10) % {len(TAGS)}", TAGS)} AS tag, (doc_id // 50) % 2 = 0 AS empty FROM documents),
+f AS (SELECT *, CASE WHEN regexp_matches(fix, '(?i)({_NAMES})\s*=\s*"([^"]*)"') THEN lower(regexp_extract(fix, '(?i)({_NAMES})\s*=\s*"([^"]*)"', 1))
+                     WHEN regexp_matches(fix, '(?i)\b({_NAMES})\b') THEN lower(regexp_extract(fix, '(?i)\b({_NAMES})\b', 1)) END AS target,
+             CASE WHEN regexp_matches(fix, '(?i)({_NAMES})\s*=\s*"([^"]*)"') THEN regexp_extract(fix, '(?i)({_NAMES})\s*=\s*"([^"]*)"', 2) END AS value FROM i),
+c AS (SELECT *, CASE WHEN tag IS NULL THEN 'hallucinated' WHEN target = 'alt' AND tag <> 'img' THEN 'hallucinated'
+    WHEN target IN ('aria-label', 'alt') AND empty AND tag IN ('p', 'span', 'div') THEN 'hallucinated'
+    WHEN regexp_matches(lower('issue ' || fix), '{"|".join(R.HUMAN_WORDS)}') THEN 'needs_human'
+    WHEN target = 'alt' THEN 'llm_safe' WHEN target IN ('aria-describedby', 'aria-labelledby') THEN 'needs_human'
+    WHEN target = 'role' AND value <> '' AND lower(value) NOT IN ({", ".join(f"'{r}'" for r in R.SAFE_ROLES)}) THEN 'needs_human'
+    WHEN target IN ({", ".join(f"'{r}'" for r in R.SETTABLE)}) AND value <> '' THEN 'deterministic' ELSE 'needs_human' END AS decision FROM f)
+"""
+
+
+@query(f"WITH {_ISSUES} SELECT doc_id, target, value FROM f")
+def fix_parse(spark, d):
+    return synthetic_issues(spark, d).select("doc_id", R.fix_target(F.col("suggested_fix")).alias("target"), R.fix_value(F.col("suggested_fix")).alias("value"))
+
+
+def _decided(spark, d) -> DataFrame:
+    i = synthetic_issues(spark, d)
+    groups = i.select("doc_id", "lang", F.lit("e").alias("element_id"), F.lit("1.3.1").alias("wcag_criterion"), "issue", "suggested_fix", F.array(F.lit("gpt")).alias("reviewers"), F.lit(1).alias("n_reviewers"), F.lit(0.6).alias("confidence"))
+    index = i.where("tag IS NOT NULL").select("doc_id", F.lit("e").alias("ir_id"), "tag", F.lit("").alias("alt"), "empty", F.when(F.col("doc_id") % 4 == 1, F.create_map(F.lit("lang"), F.lit("de"))).otherwise(F.create_map().cast("map<string,string>")).alias("attrs"))
+    return judge.decide(judge.classify(groups, index, "doc_id"))
+
+
+@query(f"WITH {_ISSUES} SELECT doc_id, decision, CASE decision WHEN 'hallucinated' THEN 'REJECT_HALLUCINATED' WHEN 'needs_human' THEN 'NEEDS_HUMAN' WHEN 'llm_safe' THEN 'DEFERRED_LLM' ELSE CASE WHEN target = 'lang' AND doc_id % 4 = 1 THEN 'ALREADY_SATISFIED' ELSE 'ACCEPT' END END AS status, decision = 'deterministic' AND NOT (target = 'lang' AND doc_id % 4 = 1) AS patched FROM c")
+def classify_issues(spark, d):
+    return _decided(spark, d).select("doc_id", "decision", "status", F.col("patch").isNotNull().alias("patched"))
+
+
+@query(f"WITH {_ISSUES} SELECT lang, count(*) FILTER (decision = 'deterministic' AND NOT (target = 'lang' AND doc_id % 4 = 1)) AS accepted, count(*) FILTER (decision = 'needs_human') AS needs_human, count(*) FILTER (decision = 'hallucinated') AS hallucinations FROM c GROUP BY lang")
+def decision_pivot(spark, d):
+    return report.decision_counts(_decided(spark, d).select("lang", F.col("status").alias("decision"), "reviewers"), "lang").drop("reviewers")
+
+
+def synthetic_reviews(spark, d) -> DataFrame:
+    """Three reviewers that flag documents by divisors of the id, each in words of its own."""
+    i = F.col("doc_id")
+    one = lambda r, k: F.struct(*(F.lit(v).cast(t).alias(n) for n, t, v in (("issue_id", "string", f"{r}-1"), ("wcag_criterion", "string", "1.3.1"), ("element_id", "string", "e"), ("issue", "string", f"{r} says so"), ("impact", "string", "serious"), ("confidence", "double", 0.5 + k / 10), ("suggested_fix", "string", f'{r}: add aria-label="n{k}"'), ("fix_type", "string", "deterministic"), ("hallucinated", "boolean", False))))
+    flags = lambda r, k: F.when(i % (k + 1) == 0, F.array(one(r, k))).otherwise(F.array().cast(model.REVIEWS[len("map<string,") : -1]))
+    return _t(spark, d, "documents").select("doc_id", F.create_map(*(x for k, r in enumerate(loop.SYNTH_REVIEWERS) for x in (F.lit(r), flags(r, k)))).alias("reviews"))
+
+
+@query("""
+SELECT doc_id, 1 + (doc_id % 2 = 0)::int + (doc_id % 3 = 0)::int AS n_reviewers, 3 AS asked,
+       CASE 1 + (doc_id % 2 = 0)::int + (doc_id % 3 = 0)::int WHEN 1 THEN 0.6 WHEN 2 THEN 0.8 ELSE 0.95 END::double AS confidence,
+       concat_ws(',', CASE WHEN doc_id % 2 = 0 THEN 'gemini' END, CASE WHEN doc_id % 3 = 0 THEN 'gpt' END, 'olmo') AS reviewers FROM documents""")
+def consensus_confidence(spark, d):
+    g = reviews.consensus(reviews.explode_reviews(synthetic_reviews(spark, d), "doc_id"), "doc_id")
+    return g.select("doc_id", "n_reviewers", F.col("n_reviewers_all").alias("asked"), "confidence", F.array_join("reviewers", ",").alias("reviewers"))
+
+
+@query()
+def fuzzy_dedup(spark, d):
+    """Groups by similar words where no attribute is named: each document's first words, as two reviewers tell them."""
+    w = _t(spark, d, "documents").select("doc_id", F.slice(F.split("text", r"\s+"), 1, 8).alias("w"))
+    say = lambda r, k, words: F.struct(F.lit(r).alias("reviewer"), F.lit(k).alias("reviewer_pos"), F.array_join(words, " ").alias("issue"))
+    rows = w.select("doc_id", F.explode(F.array(say("a", 0, F.col("w")), say("b", 1, F.reverse("w")), say("c", 2, F.slice("w", 1, 6)))).alias("s")).select("doc_id", "s.*")
+    full = rows.select("*", F.lit(0).alias("issue_pos"), F.lit("e").alias("element_id"), F.lit("1.3.1").alias("wcag_criterion"), F.lit("minor").alias("impact"), F.lit("rewrite").alias("suggested_fix"), F.lit(0.5).alias("confidence"), F.lit("x").alias("fix_type"), F.lit(False).alias("hallucinated"))
+    return reviews.consensus(full, "doc_id").select("doc_id", "issue", "n_reviewers", "confidence")
+
+
+@query("""
+WITH x AS (SELECT doc_id, unnest(['b' || doc_id, '', 'c']) AS id, unnest([1, 2, 3]) AS k FROM documents)
+SELECT doc_id, 'gpt-' || (k - 1) AS issue_id, id AS element_id, CASE k WHEN 1 THEN '2.1.1' ELSE '1.3.1' END AS wcag_criterion, CASE k WHEN 1 THEN 0.4 ELSE 0.75 END::double AS confidence,
+       CASE k WHEN 1 THEN 'needs_human' ELSE 'llm_safe' END AS fix_type, CASE k WHEN 1 THEN 'd' ELSE '' END AS issue FROM x WHERE k = 1 OR (k = 3 AND doc_id % 2 = 0)""")
+def normalize_reviews(spark, d):
+    """Fenced answers with aliases, missing ids, numbers as text and zero confidences."""
+    i = F.col("doc_id").cast("string")
+    answer = F.concat(F.lit('```json\n{"violations": [{"elementId": "b'), i, F.lit('", "criterion": "2.1.1", "confidence": "0.4", "description": "d", "requires_long_desc": true}, {"issue": "no id"}, {"id": "c", "confidence": 0, "fix_type": "llm_safe"}]} trailing\n```'))
+    valid = F.when(F.col("doc_id") % 2 == 0, F.array(F.concat(F.lit("b"), i), F.lit("c"))).otherwise(F.array(F.concat(F.lit("b"), i)))
+    raw = _t(spark, d, "documents").select("doc_id", F.lit("gpt").alias("reviewer"), answer.alias("text"), valid.alias("valid_ids"))
+    issues, _ = reviews.normalize(raw, "doc_id")
+    return issues.select("doc_id", "issue_id", "element_id", "wcag_criterion", "confidence", "fix_type", "issue")
+
+
+@query("""
+SELECT doc_id, 'e' AS element_id, 'aria-label' AS attribute, 'n' || doc_id % 3 AS value FROM documents WHERE doc_id % 3 <> doc_id % 2
+UNION ALL SELECT doc_id, 'e', 'role', 'list' FROM documents WHERE doc_id % 5 = 0""")
+def enhancements_diff(spark, d):
+    """Added or changed attributes, of maps by rule."""
+    i = F.col("doc_id")
+    m = lambda label, role: F.map_filter(F.create_map(F.lit("aria-label"), label, F.lit("role"), role, F.lit("alt"), i.cast("string")), lambda k, v: v.isNotNull())
+    n = lambda k: F.concat(F.lit("n"), (i % k).cast("string"))
+    docs = _t(spark, d, "documents")
+    rows = lambda attrs: docs.select("doc_id", F.lit("e").alias("ir_id"), F.lit(0).alias("pos"), attrs.alias("attrs"))
+    return report.enhancements(rows(m(n(2), F.lit(None).cast("string"))), rows(m(n(3), F.when(i % 5 == 0, "list"))), "doc_id").select("doc_id", "element_id", "attribute", "value")
+
+
+@query("""
+WITH x AS (SELECT event_id, ts::date AS day, row_number() OVER (PARTITION BY ts::date ORDER BY ts, event_id) AS n FROM events)
+SELECT event_id, day, n <= 20 AS allowed, least(n, 20)::int AS count_after FROM x""")
+def daily_quota(spark, d):
+    return service.daily_quota(_t(spark, d, "events").select("event_id", "ts")).select("event_id", "day", "allowed", "count_after")
+
+
+_IMPACT = "CASE user_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'serious' WHEN 2 THEN 'moderate' WHEN 3 THEN 'minor' ELSE 'other' END"
+
+
+@query(f"""
+SELECT event_type, count(*) FILTER (i = 'critical') AS critical, count(*) FILTER (i = 'serious') AS serious, count(*) FILTER (i = 'moderate') AS moderate, count(*) FILTER (i = 'minor') AS minor
+FROM (SELECT event_type, {_IMPACT} AS i FROM events) GROUP BY event_type""")
+def severity_histogram(spark, d):
+    impact = _pick(F.col("user_id") % 5, (*score.IMPACTS, "other"))
+    return score.severity_histogram(_t(spark, d, "events").select("event_type", impact.alias("impact")), "event_type")
+
+
+@query("""
+SELECT event_type, round(100.0 * p / (p + v), 1)::double AS score, CASE WHEN 100.0 * p / (p + v) >= 90 THEN 'green' WHEN 100.0 * p / (p + v) >= 60 THEN 'amber' ELSE 'red' END AS ring
+FROM (SELECT event_type, count(*) FILTER (user_id % 7 > 0) AS p, count(*) FILTER (user_id % 7 = 0) AS v FROM events GROUP BY 1)""")
+def score_percent(spark, d):
+    n = _t(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("user_id") % 7 > 0).alias("p"), F.count_if(F.col("user_id") % 7 == 0).alias("v"))
+    s = R.score_percent(F.col("p"), F.col("v"))
+    return n.select("event_type", s.alias("score"), R.ring(100 * F.col("p") / (F.col("p") + F.col("v"))).alias("ring"))
+
+
+_STAGE_LIST = "[" + ", ".join(f"'{s}'" for s in STAGES) + "]"
+
+
+@query(f"SELECT event_id, greatest(coalesce(list_position({_STAGE_LIST}, s), 0) - 1, 0)::int AS stage_index, event_id % 2 = 0 AS has_html FROM (SELECT event_id, coalesce({_STAGE_LIST}[(event_id % 10 + 1)::int], 'lost') AS s FROM events)")
+def job_status(spark, d):
+    i = F.col("event_id")
+    jobs = _t(spark, d, "events").select("event_id", F.coalesce(_pick(i % 10, STAGES), F.lit("lost")).alias("stage"), F.when(i % 2 == 0, "html").alias("final_html"))
+    return service.job_status(jobs).select("event_id", "stage_index", "has_html")
+
+
+@query("SELECT user_id AS id, max_by(event_type, event_id) AS stage, max_by(value, event_id) AS status FROM events GROUP BY user_id")
+def latest_jobs(spark, d):
+    return service.latest_jobs(_t(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.col("value").alias("status")))
+
+
+@query(f"SELECT doc_id, regexp_matches(lower(text), '{'|'.join(X.LONG_DESCRIPTION_WORDS)}') AS long_description, (len(text) - len(replace(text, chr(10), ''))) + 1 AS page_count, {_SQUEEZE('text')}[1:150] AS context FROM documents")
+def alt_context(spark, d):
+    t = F.col("text")
+    return _t(spark, d, "documents").select("doc_id", X.needs_long_description(t).alias("long_description"), X.page_count(t, "\n").alias("page_count"), X.context(t).alias("context"))
+
+
+@query("""
+WITH f AS (SELECT l_orderkey AS doc_id, l_partkey % 5 AS xref, l_linenumber AS page, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 5 ORDER BY l_linenumber, l_partkey) AS r, l_partkey FROM lineitem)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, l_partkey)::int AS n, 'syllabus_img_' || row_number() OVER (PARTITION BY doc_id ORDER BY page, l_partkey) || '.png' AS filename, page FROM f WHERE r = 1""")
+def image_numbers(spark, d):
+    """Line items as images: the first of each reference in a document, numbered."""
+    found = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("i"), (F.col("l_partkey") % 5).alias("xref"), F.lit("png").alias("ext"), F.lit(None).cast("binary").alias("data"), F.lit("t").alias("page_text"))
+    return readers.number_images(found).select("doc_id", "n", "filename", "page")
+
+
+def supplier_pages(spark, d) -> DataFrame:
+    """A page a supplier: a heading, a list and a table."""
+    s = _t(spark, d, "supplier")
+    md = F.concat(F.lit("# Supplier "), F.col("s_suppkey").cast("string"), F.lit("\n- one\n- two\nPrices\n<table>\n<tr><td>"), F.col("s_acctbal").cast("string"), F.lit("</td></tr>\n</table>\nEnd."))
+    return segment.build_html(s.select(F.col("s_suppkey").cast("long").alias("doc_id"), md.alias("text"))).select("doc_id", "html")
+
+
+@query("SELECT s_suppkey::bigint AS doc_id, 'converged' AS stopped_reason, 3 AS rounds_accepted, 100.0::double AS final_score, '1 → 10p' AS round1, '1 → 11p' AS round2, '0 → 11p' AS round3 FROM supplier")
+def remediation_loop(spark, d):
+    """Three rounds over suppliers' pages: a table is named, a list gets its role, nothing is left."""
+    runs, rounds = loop.run_loop(supplier_pages(spark, d))
+    cells = report.comparison(runs, rounds).select("doc_id", "round1", "round2", "round3")
+    return runs.select("doc_id", "stopped_reason", "rounds_accepted", F.col("final.score").alias("final_score")).join(cells, "doc_id")
+
+
+@query("SELECT s_suppkey::bigint AS doc_id, s_suppkey % 2 = 0 AS ok, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 0 END::bigint AS labels FROM supplier")
+def patch_pages(spark, d):
+    """Two patches a page; where the second misses, neither is applied."""
+    pages = supplier_pages(spark, d)
+    ids = elements.valid_ids(F.col("html"))
+    null = lambda t="string": F.lit(None).cast(t)
+    patch = lambda eid: F.struct(eid.alias("element_id"), F.lit("annotate").alias("operation"), F.lit("aria-label").alias("target_attribute"), F.lit("x").alias("new_value"), null().alias("wrapper_tag"), null("map<string,string>").alias("wrapper_attributes"), null().alias("new_element"), null().alias("position"), F.lit("1.3.1").alias("wcag_criterion"), F.lit(0.9).alias("confidence"), F.lit(False).alias("llm_safe"), F.lit("").alias("reasoning"))
+    second = F.when(F.col("doc_id") % 2 == 0, F.get(ids, 1)).otherwise(F.lit("missing"))
+    out = pages.select("doc_id", apply.apply_patches(F.col("html"), F.array(patch(F.get(ids, 0)), patch(second)).cast(model.PATCHES)).alias("a"))
+    return out.select("doc_id", F.col("a.ok").alias("ok"), F.regexp_count("a.html", F.lit('aria-label="x"')).cast("long").alias("labels"))
+
+
+@query("SELECT user_id, event_type AS reviewer, CASE WHEN count(*) FILTER (n > 1 AND ok) > 0 THEN 'success' ELSE max(CASE WHEN n = 1 THEN CASE WHEN ok THEN 'success' ELSE 'failed' END END) END AS status, nullif(count(*) FILTER (n > 1 AND ok), 0)::int AS rounds_ran FROM (SELECT user_id, event_type, event_id % 3 > 0 AS ok, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events) GROUP BY ALL")
+def reviewer_health(spark, d):
+    rows = _t(spark, d, "events").groupBy("user_id", F.col("event_type").alias("reviewer")).agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("round"), F.when(F.col("event_id") % 3 > 0, "success").otherwise("failed").alias("status")))).alias("h"))
+    return rows.select("user_id", "reviewer", loop.merge_health(F.col("h")).alias("m")).select("user_id", "reviewer", "m.status", "m.rounds_ran")
+
+
+@query("SELECT s_suppkey::bigint AS id, k - 1 AS step, s AS stage FROM (SELECT s_suppkey, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM (SELECT s_suppkey, list_filter(%s, lambda x: NOT (x LIKE 'round%%' AND coalesce(try_cast(x[6:6] AS int), 0) > s_suppkey %% 4)) AS l FROM supplier))" % ("[" + ", ".join(f"'{s}'" for s in STAGES[1:]) + "]"))
+def stage_replay(spark, d):
+    return service.replay(_t(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), (F.col("s_suppkey") % 4).cast("int").alias("max_rounds")))
