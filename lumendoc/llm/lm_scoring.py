@@ -19,8 +19,8 @@ by broadcast, a slice of parts of at most ``SLICE_BYTES`` at a time: below that
 size one pass scores everything, above it each slice has a pass of its own over
 the pairs that fall in it, and the passes' sums are added.
 
-The base score needs exact counts.  The ``TOP`` most frequent words' counts
-(16 bytes each, so a proven bound) are broadcast; the other words of a document
+The base score needs exact counts.  The counts of at most ``TOP``
+most frequent words (16 bytes each, so a proven bound) are broadcast; the other words of a document
 are joined with the count table by a shuffle, where no such word is frequent.
 
 Map-side, an Arrow batch is reduced to its distinct n-grams with numpy and
@@ -59,7 +59,7 @@ SLICE_BYTES = 256 << 20
 PART_BYTES, MOST_PARTS = 8 << 20, 1 << 14
 LEVELS = 128
 #: Pairs a task holds, summed by stretches of text, before it ships them.
-HELD = 4_000_000
+HELD = 1_000_000
 
 _steps = np.power(RATIO, np.arange(LEVELS))
 #: Mean count of a level (index 0: not in the filter).
@@ -159,7 +159,7 @@ def count_ngrams(train: DataFrame, parts: int) -> DataFrame:
         def ship(held: list) -> pa.RecordBatch:
             packed = []
             for kind in (0, 1):
-                h, n = _summed(np.concatenate([x[kind][0] for x in held]), np.concatenate([x[kind][1] for x in held]))
+                h, n = _summed(np.concatenate([x[kind][0] for x in held]), np.concatenate([x[kind][1].astype(np.uint32) for x in held]))
                 cuts = np.concatenate([np.searchsorted(h, edges), [len(h)]])
                 packed.append([(h[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for a, b in zip(cuts[:-1], cuts[1:])])
             words, pairs = packed
@@ -169,7 +169,7 @@ def count_ngrams(train: DataFrame, parts: int) -> DataFrame:
 
         held, size = [], 0
         for batch in batches:
-            for group in row_groups(batch, "text"):
+            for group in row_groups(batch, "text", 2 << 20):
                 tokens, _ = sequences(group.column(0))
                 held.append([np.unique(x, return_counts=True) for x in (tokens, pairs_of(tokens)[0])])
                 size += len(held[-1][1][0])
@@ -215,6 +215,19 @@ def _slices(sizes: list[tuple[int, int]], parts: int, most: int) -> list[tuple[i
     return [*out, (start, parts)]
 
 
+def _least_count(words: DataFrame, top: int) -> int:
+    """A count that at most ``top`` words reach, found from how many words each level of counts has."""
+    level = F.floor(F.log2("c") * 16)
+    found = words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy(F.col("level").desc()).collect()  # 16 a doubling
+    least, held = (1 << 62), 0
+    for r in found:
+        held += r["n"]
+        if held > top:
+            break
+        least = r["c"]
+    return least
+
+
 def score(docs: DataFrame, *, slice_bytes: int = SLICE_BYTES, top: int = TOP, part_bytes: int = PART_BYTES) -> DataFrame:
     """Score every row of ``docs``; see the module for the columns' meaning."""
     spark = docs.sparkSession
@@ -226,7 +239,8 @@ def score(docs: DataFrame, *, slice_bytes: int = SLICE_BYTES, top: int = TOP, pa
     total, distinct = words.agg(F.sum("c"), F.count(F.lit(1))).first()
     total = total or 0
     share = 0.1 * (distinct + 1)
-    frequent = words.orderBy(F.col("c").desc(), "h").limit(top).toPandas().sort_values("h")
+    least = _least_count(words, top)
+    frequent = words.where(F.col("c") >= least).toPandas()
     top_h, top_c = frequent["h"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64)
 
     sizes = made.where(F.col("part").isNotNull()).select("part", F.octet_length("pairs")).collect()
@@ -245,7 +259,9 @@ def score(docs: DataFrame, *, slice_bytes: int = SLICE_BYTES, top: int = TOP, pa
         pair_bits = spark.sparkContext.broadcast(fetch("pairs", a, b))
         scored = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scorer(word_bits, pair_bits, a, parts, total, share, turn == 0), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare_h array<long>, rare_n array<int>")
         scored = materialize(scored, "lm-pass")
+        pair_bits.destroy()
         passes = scored if passes is None else passes.unionByName(scored)
+    word_bits.destroy()
     if len(cuts) > 1:  # rows come in the same order in every pass over the same files
         passes = passes.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"), F.flatten(F.collect_list("rare_h")).alias("rare_h"), F.flatten(F.collect_list("rare_n")).alias("rare_n"))
 
@@ -273,7 +289,7 @@ def _scorer(word_bits, pair_bits, first: int, parts: int, total: int, share: flo
         top_h = top_h.view(U)
         order = np.argsort(top_h)
         top_h, top_c = top_h[order], top_c[order]
-        for batch in (group for whole in batches for group in row_groups(whole, "text")):
+        for batch in (group for whole in batches for group in row_groups(whole, "text", 1 << 20)):
             tokens, at = sequences(batch.column(batch.schema.get_field_index("text")))
             n = np.diff(at)
             kinds, which = np.unique(tokens, return_inverse=True)
