@@ -69,7 +69,11 @@ IMPACTS = ("critical", "serious", "moderate", "minor")
 
 def severity(scored: Column) -> Column:
     """Violated rules by impact; other impacts are not counted."""
-    return F.struct(*(F.size(F.filter(scored["rules"], lambda r, i=i: r["impact"] == i)).alias(i) for i in IMPACTS))
+
+    def count(impact: str) -> Column:
+        return F.size(F.filter(scored["rules"], lambda r: r["impact"] == impact)).alias(impact)
+
+    return F.struct(*map(count, IMPACTS))
 
 
 def severity_histogram(violations: DataFrame, *keys: str, impact: str = "impact") -> DataFrame:
