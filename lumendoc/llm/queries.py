@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, sentencepiece_codec, token_counts, warc_fixity
+from . import exact_dedup, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, token_counts, warc_fixity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.encode_query,
     "op2_warc_fixity": warc_fixity.fixity_query,
     "op3_exact_dedup": exact_dedup.dedup_query,
     "op4_quality_classifier": quality_classifier.classifier_query,
+    "op5_substring_dedup": substring_dedup.repeats_query,
     "op6_quality_rules": quality_rules.rules_query,
     "op7_token_counts": token_counts.counts_query,
     "op8_mixing": mixing.mix_query,
