@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tokens import row_groups
+
 MARK = "▁"
 #: Texts are worked on in groups of about this many bytes.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 
 def default_model() -> str:
@@ -117,21 +119,10 @@ class ChunkTable:
         return flat, np.concatenate([[0], ends[last]]) if len(counts) else np.zeros(1, np.int64)
 
 
-def groups_of(texts: list[str], most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about ``most`` characters, and one row at least."""
-    start = held = 0
-    for k, text in enumerate(texts):
-        held += len(text)
-        if held >= most:
-            yield start, k + 1
-            start, held = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def encode(docs: DataFrame, model_file: str | None = None, *, text: str = "text", ids: str = "ids", decoded: str | None = None, keep: list[str] | None = None, table_entries: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, model_file: str | None = None, *, text: str = "text", ids: str = "ids", decoded: str | None = None, same: str | None = None, keep: list[str] | None = None, table_entries: int = 300_000) -> DataFrame:
     """Append ``ids`` (array of int, closed by the end id), and where ``decoded``
-    names a column, the text that the library's ``decode(ids)`` gives.
+    names a column, the text that the library's ``decode(ids)`` gives; where
+    ``same`` does, whether that is the text.
 
     The model's bytes travel with the function, so executors need no file.
     A column of the input that bears a new column's name is replaced; ``keep``
@@ -139,23 +130,23 @@ def encode(docs: DataFrame, model_file: str | None = None, *, text: str = "text"
     """
     with open(model_file or default_model(), "rb") as f:
         model = f.read()
-    kept = [c for c in docs.columns if c not in (ids, decoded) and (keep is None or c in keep)]
+    kept = [c for c in docs.columns if c not in (ids, decoded, same) and (keep is None or c in keep)]
     fields = [docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
     fields += [T.StructField(decoded, T.StringType(), False)] if decoded else []
+    fields += [T.StructField(same, T.BooleanType(), False)] if same else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model, table_entries)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            for a, b in groups_of(texts):
-                flat, offsets = table.encode(texts[a:b])
-                part = batch.slice(a, b - a)
-                out = [part.column(part.schema.get_field_index(c)) for c in kept]
-                out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())))
-                if decoded:
-                    each = [flat[i:j].tolist() for i, j in zip(offsets[:-1], offsets[1:])]
-                    out.append(pa.array(table.whole.decode(each, num_threads=1), pa.string()))
-                yield pa.RecordBatch.from_arrays(out, names=[*kept, ids, *([decoded] if decoded else [])])
+        for part in (group for batch in batches for group in row_groups(batch, text, GROUP_BYTES)):
+            column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
+            texts = [x or "" for x in column(text).to_pylist()]
+            flat, offsets = table.encode(texts)
+            out = [*map(column, kept), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
+            if decoded or same:
+                back = table.whole.decode([flat[i:j].tolist() for i, j in zip(offsets[:-1], offsets[1:])], num_threads=1)
+                out += [pa.array(back, pa.string())] if decoded else []
+                out += [pa.array([x == y for x, y in zip(back, texts)], pa.bool_())] if same else []
+            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
     return docs.select(*kept, *([] if text in kept else [text])).mapInArrow(run, T.StructType(fields))
 
