@@ -37,9 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (closed by the end id), and whether they decode to the text."""
-    out = sentencepiece_codec.encode(docs, decoded="decoded")
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    out = sentencepiece_codec.encode(docs, same="round_trip", keep=["doc_id", "lang", "source"])
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
