@@ -22,6 +22,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """links: (u, v) with v < u."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if large:  # a hub is the smaller end of many links: with its minimum written, both sides of the join can be split
+        least = materialize(least, "least-neighbours")
     at = both.join(least, "u")
     if large:
         out = at.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
