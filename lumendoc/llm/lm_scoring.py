@@ -254,15 +254,18 @@ def score(docs: DataFrame, *, slice_bytes: int = SLICE_BYTES, top: int = TOP, pa
 
     word_bits = spark.sparkContext.broadcast((*fetch("words", 0, parts), top_h, top_c))
 
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    if len(cuts) > 1:  # all passes must number the rows alike
+        numbered = materialize(numbered, "lm-rows")
     passes = None
     for turn, (a, b) in enumerate(cuts):
         pair_bits = spark.sparkContext.broadcast(fetch("pairs", a, b))
-        scored = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scorer(word_bits, pair_bits, a, parts, total, share, turn == 0), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare_h array<long>, rare_n array<int>")
+        scored = numbered.mapInArrow(_scorer(word_bits, pair_bits, a, parts, total, share, turn == 0), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare_h array<long>, rare_n array<int>")
         scored = materialize(scored, "lm-pass")
         pair_bits.destroy()
         passes = scored if passes is None else passes.unionByName(scored)
     word_bits.destroy()
-    if len(cuts) > 1:  # rows come in the same order in every pass over the same files
+    if len(cuts) > 1:
         passes = passes.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"), F.flatten(F.collect_list("rare_h")).alias("rare_h"), F.flatten(F.collect_list("rare_n")).alias("rare_n"))
 
     rare = passes.select("row", F.explode(F.arrays_zip("rare_h", "rare_n")).alias("r")).select("row", F.col("r.rare_h").alias("h"), F.col("r.rare_n").alias("n"))

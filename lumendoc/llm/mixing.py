@@ -134,11 +134,14 @@ def copies(docs: DataFrame) -> DataFrame:
     """``docs`` mixed: each row as often as ``mix`` takes it.
 
     The copies are joined to the documents by doc_id; a document without one
-    is not taken.
+    is not taken, and rows that repeat a doc_id are each taken as often as the
+    one of them that is taken most.
     """
-    plan = materialize(mix(docs).where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("copies").alias("mix_copies")), "mix-plan")
+    plan = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("mix_copies"))
+    plan = materialize(plan, "mix-plan")
     out = docs.join(plan, docs["doc_id"] == plan["mix_id"])
-    return out.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*(docs[c] for c in docs.columns))
+    nth = F.explode(F.sequence(F.lit(1), plan["mix_copies"].cast("int"))).alias("nth of mix")
+    return out.select(*(docs[c] for c in docs.columns), nth).drop("nth of mix")
 
 
 def mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:

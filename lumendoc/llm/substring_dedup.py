@@ -122,10 +122,11 @@ def repeated(docs: DataFrame, *, min_words: int = MIN_WORDS, size: int = SIZE, p
 def removals(docs: DataFrame, **how) -> DataFrame:
     """doc_id, text without the removed lines, and how many went; documents without removals stay as they are."""
     gone = repeated(docs, **how).where("removed").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    at = docs.join(materialize(gone, "removed-lines").withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return at.select(*(docs[c] for c in docs.columns if c != "text"), text.alias("text"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).alias("n_removed"))
+    gone = materialize(gone, "removed-lines").withColumnRenamed("doc_id", "gone_id")
+    at, lines = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left"), gone["gone"]
+    left = F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(lines, i))
+    text = F.when(lines.isNull(), docs["text"]).otherwise(F.array_join(left, "\n"))
+    return at.select(*(docs[c] for c in docs.columns if c not in ("text", "n_removed")), text.alias("text"), F.coalesce(F.when(lines.isNotNull(), F.size(lines)), F.lit(0)).alias("n_removed"))
 
 
 def repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:

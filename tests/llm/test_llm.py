@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumendoc.llm import exact_dedup, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, sentencepiece_codec
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rep string, digest int, label int, cluster int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rep string, digest int, label int, cluster int, mix_copies int, gone int"
 WORDS = "the of and einer Straße été ñandú foo bar baz qux $$$ THE Of x1 , .".split()
 RE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -33,7 +33,7 @@ def texts():
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(k, t, [None, "en", "de", "fr"][k % 4], [None, "a", "b", "Z"][k % 4] if k % 3 else "a", None, "r", 1, 2, 3) for k, t in enumerate(texts())]
+    rows = [(k, t, [None, "en", "de", "fr"][k % 4], [None, "a", "b", "Z"][k % 4] if k % 3 else "a", None, "r", 1, 2, 3, 4, 5) for k, t in enumerate(texts())]
     return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
 
 

@@ -27,7 +27,7 @@ def docs(spark):
             lines.insert(rnd.randrange(4), " ".join(p))
         rows.append((1000 + k, "\n".join(lines)))
     rows += [(2000, "\n".join([" ".join(passage)] * 3)), (2001, None), (2002, "x" * 200_000)]
-    return spark.createDataFrame([(k, t, "en", "s", 1, "r", 1, 2, 3) for k, t in rows], SCHEMA).repartition(3).cache()
+    return spark.createDataFrame([(k, t, "en", "s", 1, "r", 1, 2, 3, 4, 5) for k, t in rows], SCHEMA).repartition(3).cache()
 
 
 @pytest.fixture(scope="module")
