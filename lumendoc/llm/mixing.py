@@ -139,7 +139,7 @@ def copies(docs: DataFrame) -> DataFrame:
     """
     plan = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("mix_copies"))
     plan = materialize(plan, "mix-plan")
-    out = docs.join(plan, docs["doc_id"] == plan["mix_id"])
+    out = docs.hint("merge").join(plan, docs["doc_id"] == plan["mix_id"])  # at any size, as nearly all documents have a row
     nth = F.explode(F.sequence(F.lit(1), plan["mix_copies"].cast("int"))).alias("nth of mix")
     return out.select(*(docs[c] for c in docs.columns), nth).drop("nth of mix")
 
