@@ -44,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,7 +164,7 @@ def cluster_links(sets: DataFrame) -> DataFrame:
             at[-1] = len(keys)
             rows = [(k, keys[a:b].tobytes(), reps[a:b].tobytes()) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
             if len(links):
-                rows.append((-1 - int(links[0, 0]) % parts, links[:, 0].tobytes(), links[:, 1].tobytes()))
+                rows.append((-1 - TaskContext.get().partitionId() % parts, links[:, 0].tobytes(), links[:, 1].tobytes()))
             cols = list(zip(*rows)) if rows else [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["part", "a", "b"])
 
@@ -333,7 +334,8 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, size: int,
     tiles = blocks.alias("a").join(blocks.alias("b"), "cluster").where("(a.home, a.k) <= (b.home, b.k) AND (a.home <> b.home OR a.home = -1)")
     tiles = tiles.select("cluster", F.monotonically_increasing_id().alias("bundle"), F.array_distinct(F.array(F.struct("a.home", "a.k"), F.struct("b.home", "b.k"))).alias("two"))
     tiles = materialize(tiles, "tiles").select("cluster", "bundle", F.explode("two").alias("x")).select("cluster", "bundle", "x.home", "x.k")
-    placed = at.join(labelled.select("cluster", "known", "home"), ["cluster", "known"]).join(homes.select("cluster", "home", "n"), ["cluster", "home"])
+    where = materialize(labelled.join(homes.select("cluster", "home", "n"), ["cluster", "home"]).select("cluster", "known", "home", "n"), "homes")
+    placed = at.join(where, ["cluster", "known"])
     placed = placed.withColumn("k", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     plan = materialize(placed.join(tiles, ["cluster", "home", "k"]).select("rep", "cluster", "bundle", "known"), "tile-plan")
     crossed = _join(_with_texts(plan, docs), percent, size)
