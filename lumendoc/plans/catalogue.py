@@ -276,9 +276,9 @@ def enhancements_diff(spark, d):
 
 @query("""
 WITH x AS (SELECT event_id, ts::date AS day, row_number() OVER (PARTITION BY ts::date ORDER BY ts, event_id) AS n FROM events)
-SELECT event_id, day, n <= 20 AS allowed, least(n, 20)::int AS count_after FROM x""")
+SELECT event_id, day::varchar AS day, n <= 20 AS allowed, least(n, 20)::int AS count_after FROM x""")
 def daily_quota(spark, d):
-    return service.daily_quota(_t(spark, d, "events").select("event_id", "ts")).select("event_id", "day", "allowed", "count_after")
+    return service.daily_quota(_t(spark, d, "events").select("event_id", "ts")).select("event_id", F.col("day").cast("string").alias("day"), "allowed", "count_after")
 
 
 _IMPACT = "CASE user_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'serious' WHEN 2 THEN 'moderate' WHEN 3 THEN 'minor' ELSE 'other' END"
