@@ -149,11 +149,11 @@ def references(found: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """Base columns, both distances and ``kept`` of every document."""
     found = materialize(features(docs), "quality-features")
-    refs = F.broadcast(materialize(references(found), "quality-references"))
-    pool = refs.where(F.col("lang").isNull()).select(F.col("ref_chars").alias("all_chars"), F.col("ref_words").alias("all_words"), F.lit(1).alias("one"))
-    own = refs.where(F.col("lang").isNotNull())
-    at = found.join(own, "lang", "left").withColumn("one", F.lit(1)).join(pool, "one", "left")
-    chars, words = F.coalesce("ref_chars", "all_chars"), F.coalesce("ref_words", "all_words")
+    refs = materialize(references(found), "quality-references")
+    pool = refs.where(F.col("lang").isNull()).first()
+    at = found.join(F.broadcast(refs.where(F.col("lang").isNotNull())), "lang", "left")
+    whole = lambda name: F.array(*(F.lit(n or 0).cast("long") for n in pool[name]))
+    chars, words = F.coalesce("ref_chars", whole("ref_chars")), F.coalesce("ref_words", whole("ref_words"))
     n_w = len(COMMON_WORDS)
     out = at.select(
         *(c for c in found.columns if c not in ("chars", "words")),
