@@ -11,10 +11,8 @@ to be known beforehand and the filter grows with the corpus.
 
 Scores are log10 probabilities of the text and its end,
 ``p(w | v) = (1 - WEIGHT) * p1(w) + WEIGHT * c(v, w) / c(v)``, with p1 the
-add-0.1 estimate and all counts read from the filter.  Pairs seen once are
-counted, but by the model's definition carry no weight and are not stored: most
-pairs are such, they say next to nothing about unseen text, and the filter
-would be four times as large.  Workers get the filter
+add-0.1 estimate and all counts read from the filter.  Every pair of training
+is stored, those seen once too, which are most of them.  Workers get the filter
 by broadcast, a slice of parts of at most ``SLICE_BYTES`` at a time: below that
 size one pass scores everything, above it each slice has a pass of its own over
 the pairs that fall in it, and the passes' sums are added.
@@ -51,10 +49,10 @@ END = U(0x5851F42D4C957F2D)
 RATIO = 1.5
 BITS, PROBES = 8, 4
 WEIGHT = 0.1
-#: Pairs counted less often carry no weight in the model, at any size of the corpus.
-MIN_PAIR = 2
+#: The least count of a pair that is stored: all of them.
+MIN_PAIR = 1
 TOP = 1 << 18
-SLICE_BYTES = 256 << 20
+SLICE_BYTES = 80 << 20
 #: Text bytes a part of the filter is made from, on the average; most parts.
 PART_BYTES, MOST_PARTS = 8 << 20, 1 << 14
 LEVELS = 128

@@ -182,6 +182,20 @@ def test_lm_scoring(docs, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_lm_scoring_counts_pairs_seen_once(spark):
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 10]
+    out = next(k for k in range(200) if not zlib.crc32(str(k).encode()) % 10)
+    rows = [(k, f"a{k} b{k} c{k} d{k}") for k in ids]  # every pair stands once
+    seen, turned = (" ".join(f"{x}{k}" for k in ids[:20] for x in order) for order in ("abcd", "dcba"))
+    both = [lm_scoring.score(spark.createDataFrame([*rows, (out, t)], "doc_id long, text string")).where(f"doc_id = {out}").first() for t in (seen, turned)]
+    n, v = 5 * len(ids), 4 * len(ids) + 1
+    single = lambda c: (c + 0.1) / (n + 0.1 * (v + 1))
+    p = lambda c, share: math.log10(0.9 * single(c) + 0.1 * share)
+    want = p(1, 1 / len(ids)) + 60 * p(1, 1) + 19 * p(1, 0) + p(len(ids), 1)
+    assert both[0]["base_score"] == pytest.approx(both[1]["base_score"])
+    assert abs(both[0]["score"] - want) < 5 < both[0]["score"] - both[1]["score"]
+
+
 def test_filter_reads_back_levels():
     import numpy as np
 
