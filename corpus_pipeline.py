@@ -26,8 +26,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the document with the smallest doc_id stays."""
-    return jaccard_join.keep_firsts(docs)
+    """Of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays."""
+    return jaccard_join.keep_firsts(docs, percent=80, size=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -289,6 +289,22 @@ def test_pipeline_on_small_rows(spark, tmp_path, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "jaccard_join", "mixing", "sentencepiece"]
 
 
+def test_pipeline_drops_near_copies_by_the_rule(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(3)
+    rows = []
+    for n in (30, 100, 300, 500):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+        variants = [base, *([w if i % step else f"x{i}" for i, w in enumerate(base)] for step in (20, 45, 50, 60, 100)), *(base[: n * 100 // k] for k in (105, 115, 124, 130))]
+        rows += [(len(rows) + k, " ".join(v), "en", "s", 1) for k, v in enumerate(variants)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = brute_components({r[0]: shingle_set(r[1], 5) for r in rows}, 80)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {k for k in want if want[k] == k}
+    assert kept != {k for k, c in brute_components({r[0]: shingle_set(r[1]) for r in rows}, 90).items() if c == k}
+
+
 def test_word_hash_is_of_the_bytes():
     import pyarrow as pa
 
