@@ -28,16 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .components import connected_components
 from .jaccard_join import CLUSTER_MEMBERS, CLUSTER_SETS, cluster_links, verified_links
-from .tokens import U, join2, mix, row_groups, shingles, word_hashes
+from .tokens import U, _powers, join2, mix, row_groups, shingles, word_hashes
 
 MIN_WORDS = 20
 SIZE, PERCENT = 5, 80
+#: Words of the shortest passage that is found wherever lines break.
+PASSAGE = 50
 RECALL, MOST_BANDS = 0.999, 20
 
 
@@ -129,5 +131,90 @@ def removals(docs: DataFrame, **how) -> DataFrame:
     return at.select(*(docs[c] for c in docs.columns if c not in ("text", "n_removed")), text.alias("text"), F.coalesce(F.when(lines.isNotNull(), F.size(lines)), F.lit(0)).alias("n_removed"))
 
 
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` neighbouring words, in order."""
+    if len(words) < size:
+        return words[:0]
+    power, inverse = _powers(len(words) + 1)
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(words) * power[: len(words)], dtype=U)])
+    return mix((sums[size:] - sums[:-size]) * inverse[: len(words) - size + 1])
+
+
+def _slide(pick, x: np.ndarray, width: int) -> np.ndarray:
+    """``pick`` (minimum or maximum) of every ``width`` neighbours."""
+    n, have = len(x) - width + 1, 1
+    while 2 * have <= width:
+        x, have = pick(x[:-have], x[have:]), 2 * have
+    return pick(x[:n], x[width - have : width - have + n])
+
+
+def anchors(words: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the least short window among those of every ``passage`` words.
+
+    Which one it is depends on those words alone, so equal runs of ``passage``
+    words have an equal anchor.
+    """
+    short = passage // 2
+    h, width = window_hashes(words, short), passage - short + 1
+    if len(h) < width:
+        return h[:0], np.zeros(0, np.int64)
+    least = _slide(np.minimum, h, width)
+    edge = np.zeros(width - 1, U)
+    at = np.flatnonzero(_slide(np.maximum, np.concatenate([edge, least, edge]), width) == h)
+    return h[at], at
+
+
+def passages(docs: DataFrame, *, words: int = PASSAGE) -> DataFrame:
+    """Every run of ``words`` or more words that stands in two places, wherever lines break.
+
+    One row a maximal run of one document whose words stand at one other place
+    (keep_doc_id, keep_start: the first of all places), or are such a first
+    place themselves: doc_id, start, n_words, keep_doc_id, keep_start, copies
+    (the most places that a part of it has), removed.  Words are counted from 0
+    over the whole text, in lower case.
+
+    A run of that length has an anchor, so only windows around anchors that
+    occur twice are compared, all of them by a 64-bit hash.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in row_groups(whole, "text", 2 << 20):
+                found, at = word_hashes(batch.column(1))
+                got = [anchors(found[a:b], words) for a, b in zip(at[:-1], at[1:])]
+                n = [len(h) for h, _ in got]
+                h, place = (np.concatenate(x) for x in zip(*got))
+                doc = np.repeat(batch.column(0).to_numpy(), n)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.array(h.view(np.int64))], names=["doc", "place", "h"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = words // 2
+        for whole in batches:
+            for batch in row_groups(whole, "text", 1 << 20):
+                found, at = word_hashes(batch.column(1))
+                for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
+                    h = window_hashes(found[a:b], words)
+                    near = batch.column(2)[k].values.to_numpy()[:, None] - np.arange(words - short + 1)
+                    start = np.unique(near[(near >= 0) & (near < len(h))])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), batch.column(0)[k].as_py(), np.int64)), pa.array(start), pa.array(h[start].view(np.int64))], names=["doc", "start", "h"])
+
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.length("text") >= 2 * words - 1)
+    spots = materialize(texts.mapInArrow(find, "doc long, place long, h long"), "anchors")
+    twice = materialize(spots.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated-anchors")
+    at = materialize(spots.join(twice, "h").groupBy("doc").agg(F.collect_set("place").alias("places")), "anchor-places")
+    rows = texts.hint("merge").join(at, "doc").select("doc", "text", "places").mapInArrow(spread, "doc long, start long, h long")
+    rows = materialize(rows, "passage-windows")
+    groups = rows.groupBy("h").agg(F.min(F.struct("doc", "start")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    marked = rows.join(materialize(groups, "repeated-windows"), "h").select("doc", "start", F.col("keep.doc").alias("keep_doc"), (F.col("keep.start") - F.col("start")).alias("shift"), "n")
+    run = F.col("start") - F.dense_rank().over(Window.partitionBy("doc", "keep_doc", "shift").orderBy("start"))
+    runs = marked.withColumn("run", run).groupBy("doc", "keep_doc", "shift", "run").agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + words).alias("n_words"), F.max("n").alias("copies"))
+    return runs.select(
+        F.col("doc").alias("doc_id"), "start", "n_words", F.col("keep_doc").alias("keep_doc_id"), (F.col("start") + F.col("shift")).alias("keep_start"), "copies",
+        ((F.col("doc") != F.col("keep_doc")) | (F.col("shift") != 0)).alias("removed"),
+    )
+
+
 def repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated(table(spark, sf_dir, "documents"))
+    """Near-equal paragraphs (start and n_words are null) and equal passages (line, n_shingles and keep_line are null)."""
+    docs = table(spark, sf_dir, "documents")
+    return repeated(docs).unionByName(passages(docs), allowMissingColumns=True)

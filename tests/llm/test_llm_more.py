@@ -66,6 +66,36 @@ def test_substring_dedup(docs, empty, limits):
     assert substring_dedup.repeated(empty).count() == 0
 
 
+def test_passages_inside_lines(spark, tmp_path):
+    rnd = random.Random(2)
+    some = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    runs = [some(n) for n in (49, 50, 54, 75, 200)]
+    rows = []
+    for k in range(24):
+        words = some(rnd.randrange(150))
+        for run in rnd.sample(runs, 2) + ([runs[3]] if k % 5 == 0 else []):
+            words += [x.upper() if k % 2 else x for x in run] + some(rnd.randrange(150))
+        rows.append((k, "".join(w + rnd.choice([" "] * 40 + ["\n"]) for w in words)))
+    rows += [(100, None), (101, ""), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    at = collections.defaultdict(list)
+    for k, t in rows:
+        w = plain_words(t) if k is not None else []
+        for i in range(len(w) - 49):
+            at[tuple(w[i : i + 50])].append((k, i))
+    want = {p: (min(places), len(places)) for places in at.values() if len(places) > 1 for p in places}
+    got = {}
+    for r in substring_dedup.passages(docs).collect():
+        for i in range(r["n_words"] - 49):
+            assert (r["doc_id"], r["start"] + i) not in got
+            got[r["doc_id"], r["start"] + i] = (r["keep_doc_id"], r["keep_start"] + i)
+        assert r["removed"] == ((r["doc_id"], r["start"]) != (r["keep_doc_id"], r["keep_start"]))
+    assert got == {p: keep for p, (keep, _) in want.items()}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in substring_dedup.repeats_query(spark, str(tmp_path)).collect()} >= {d for d, _ in want}
+    assert substring_dedup.passages(docs.limit(0)).count() == 0
+
+
 def test_bands_are_tuned():
     for t in (0.5, 0.8, 0.9):
         bands, rows = substring_dedup.tune(t)
