@@ -21,8 +21,7 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    found = exact_dedup.new_index(spark).add(docs)
-    return exact_dedup.keep_rows(docs, found.where(~F.col("kept")).select("doc_id"))
+    return exact_dedup.keep_texts(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,3 +28,29 @@ def let(value: Column, body) -> Column:
 def n_words(text: Column) -> Column:
     """Words of a text; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+#: Ids (8 bytes each) that are broadcast.
+MOST_IDS = 1 << 20
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` and ``row key``, a long that tells its rows apart: the doc_id,
+    and where that is null or repeats a hash of all columns (above 2**62)."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("again"))
+    again = materialize(ids.where("again IS NOT NULL").groupBy("again").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("again"), "repeated-ids")
+    hashed = F.xxhash64(*docs.columns).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    at = docs.join(F.broadcast(again) if again.count() <= MOST_IDS else again, docs["doc_id"] == again["again"], "left")
+    plain = docs["doc_id"].isNotNull() & again["again"].isNull()
+    return at.select(*(docs[c] for c in docs.columns), F.when(plain, docs["doc_id"].cast("long")).otherwise(hashed).alias("row key"))
+
+
+def drop_keyed(known: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` documents but those whose key is in ``dropped`` (one column), without the key.
+
+    The keys are written first, so that their number is known: up to
+    ``MOST_IDS`` are broadcast, beyond that both sides are sort-merged.
+    """
+    keys = materialize(dropped.toDF("row key"), "dropped-keys")
+    few = keys.count() <= MOST_IDS
+    return known.join(F.broadcast(keys) if few else keys, "row key", "left_anti").select(*(c for c in known.columns if c != "row key"))

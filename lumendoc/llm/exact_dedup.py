@@ -7,6 +7,11 @@ aggregation, anti-joined with the index by sort-merge (the index's side is read
 bucket by bucket, without a shuffle) and what is new is appended.  Main path:
 built-in functions only.
 
+The index can be opened again from any session: its bucket count, schema and
+data folder stand in a table of their own beside it, and a request that does
+not agree with them is refused.  Appends leave one more sorted file a bucket;
+``compact`` writes them anew as one.
+
 Which row stays: within one batch the largest ``doc_id`` of equal texts; a text
 that the index already holds keeps the row of the batch that brought it.
 
@@ -18,15 +23,16 @@ sort-merge, each key then being a small share of the rows.
 Cases: null text counts as empty, and all empty texts are equal; a null
 ``doc_id`` stays only if all rows of its text have none (``keep_id`` null, all
 of them kept); rows that repeat both ``doc_id`` and text count in
-``group_size`` and are kept together, being one document; an empty table gives
-an empty result and appends nothing; columns beside ``doc_id`` and ``text`` are
-never looked at.
+``group_size`` and have equal verdicts, being one document, of which
+``keep_texts`` keeps one row; an empty table gives an empty result and appends
+nothing; columns beside ``doc_id`` and ``text`` are never looked at.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +40,9 @@ from .common import materialize, table, workdir
 
 HOT_SHARE = 1000
 INDEX_DDL = "digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING"
+META_DDL = "version BIGINT, buckets INT, ddl STRING, data STRING"
+#: Rows (some 50 bytes each) that ``keep_texts`` broadcasts.
+MOST_GONE = 1 << 18
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -42,20 +51,66 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """The persistent index: opened by name and folder, created if missing."""
+    """The persistent index: opened by folder, created if missing.
+
+    ``name`` is the table's name in this session's catalog; ``buckets`` (by
+    default the shuffle partitions) counts when the index is made, and must
+    agree, if given, when it is opened again.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, name: str | None = None, buckets: int | None = None):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} ({INDEX_DDL}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {n} BUCKETS LOCATION '{self.folder}'"
+        meta = self._meta()
+        if meta is None:
+            self.version, self.buckets = 0, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            self._point_to("data-0")
+        else:
+            self.version, self.buckets = meta["version"], meta["buckets"]
+            if buckets not in (None, self.buckets):
+                raise ValueError(f"the index at {self.folder} has {self.buckets} buckets, not {buckets}")
+            if meta["ddl"] != INDEX_DDL:
+                raise ValueError(f"the index at {self.folder} has other columns: {meta['ddl']}")
+            self._register(meta["data"])
+
+    def _meta(self):
+        try:
+            rows = self.spark.read.schema(META_DDL).json(f"{self.folder}/meta")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return rows.orderBy(F.col("version").desc()).first()
+
+    def _register(self, data: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")  # external: the files stay
+        self.spark.sql(
+            f"CREATE TABLE {self.name} ({INDEX_DDL}) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{data}'"
         )
 
+    def _point_to(self, data: str) -> None:
+        """From now on the index is this folder of data."""
+        self._register(data)
+        row = self.spark.range(1).select(F.lit(self.version).cast("long").alias("version"), F.lit(self.buckets).alias("buckets"), F.lit(INDEX_DDL).alias("ddl"), F.lit(data).alias("data"))
+        row.coalesce(1).write.mode("append").json(f"{self.folder}/meta")
+
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def compact(self) -> None:
+        """One sorted file a bucket again, in a new data folder; the old one is left to readers that have it open."""
+        rows, fresh = self.read(), f"{self.name}_compact"
+        self.version += 1
+        data = f"data-{self.version}"
+        rows.repartition(self.buckets, "digest").write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", f"{self.folder}/{data}").saveAsTable(fresh)
+        self.spark.sql(f"DROP TABLE {fresh}")
+        self._point_to(data)
+
+    def close(self) -> None:
+        """Take the table's name out of the catalog; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def add(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """Deduplicate ``docs`` against the index and append what is new.
 
@@ -86,18 +141,30 @@ def new_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex(spark, f"{workdir(spark)}/digest-index-{uuid.uuid4().hex}")
 
 
-def keep_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``dropped`` (one column, doc_id).
-
-    The ids are written first, so that the planner knows their size: below its
-    broadcast threshold they are broadcast, else both sides are sort-merged.
-    """
-    return docs.join(materialize(dropped, "dropped-ids"), "doc_id", "left_anti").select(*docs.columns)
+def keep_texts(docs: DataFrame) -> DataFrame:
+    """Of equal texts in ``docs`` one row, with the largest doc_id; decided by
+    (doc_id, digest), so that other texts under the same doc_id stay."""
+    index = new_index(docs.sparkSession)
+    found = materialize(index.add(docs).select("doc_id", "digest", "kept"), "dedup-verdicts")
+    index.close()
+    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("gone id"), F.col("digest").alias("gone digest")).distinct(), "gone-texts")
+    again = found.where("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = materialize(again.select(F.col("doc_id").alias("again id"), F.col("digest").alias("again digest")), "repeated-rows")
+    few = lambda x: F.broadcast(x) if x.count() <= MOST_GONE else x
+    of = lambda x: docs["doc_id"].cast("long").eqNullSafe(x[0]) & (F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256)) == x[1])
+    left = docs.join(few(gone), of((gone["gone id"], gone["gone digest"])), "left_anti")
+    if again.isEmpty():
+        return left
+    mine = of((again["again id"], again["again digest"]))
+    twice = left.join(few(again), mine, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(few(again), mine, "left_anti").unionByName(twice)
 
 
 def dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` as the first batch of an empty index."""
-    out = new_index(spark).add(table(spark, sf_dir, "documents"))
+    index = new_index(spark)
+    out = index.add(table(spark, sf_dir, "documents"))
+    index.close()
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

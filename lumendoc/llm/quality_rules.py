@@ -28,8 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, let, materialize, table
-from .exact_dedup import keep_rows
+from .common import SPACE, WORD, drop_keyed, keyed, let, materialize, table
 
 MIN_CHARS, MIN_WORDS = 200, 100
 #: Distances above these fail.
@@ -165,8 +164,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that ``judge`` keeps; a document without doc_id stays."""
-    return keep_rows(docs, judge(docs).where(~F.col("kept")).select("doc_id"))
+    """The rows that ``judge`` keeps, each judged by itself, also where a doc_id is null or repeats."""
+    known = keyed(docs)
+    return drop_keyed(known, judge(known.withColumn("doc_id", F.col("row key"))).where(~F.col("kept")).select("doc_id"))
 
 
 def rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
