@@ -1,46 +1,57 @@
 """Repeated passages, found as near-equal paragraphs by banded MinHash.
 
-A paragraph is a line of a text; those of ``MIN_WORDS`` words and more are
-compared by the sets of their distinct 5-word shingles, and two match when the
-Jaccard similarity is at least 0.8.  Equal paragraphs (by their sets) are one
-from the start.  Bands and rows of the MinHash are tuned: of all that find a
-pair at the threshold with ``RECALL`` probability, the ones that let through the
-fewest pairs below it.  Paragraphs that collide in a band come into one
-cluster; in each, the exact similarity decides, and the components of the
-matches are the repeated passages.  The first paragraph of a component, by
-(doc_id, line), stays and the others are removals.
-
-Collisions meet as one row a task and band key, so a passage that a third of
-all documents hold gathers nowhere; clusters are verified in bundles, large
-ones in blocks (see ``jaccard_join``).
-
-Cases: null text counts as empty; shorter paragraphs are never removed;
-paragraphs of one document match each other as those of two do; rows that
-repeat both doc_id and text are one document, whose lines stay or go together
-though they count as copies; a null doc_id takes no part; an empty table gives an empty result; other
-columns are ignored.
+Paragraphs of a text are (a) its lines of ``MIN_WORDS`` words and more, and (b)
+blocks of ``BLOCK`` words whose places depend on the words alone, so that
+neither line breaks nor what stands before and after hides a passage: of every
+run of ``PASSAGE`` words, the block with the least hash is one.  Two equal runs
+of ``PASSAGE`` words anywhere thus hold an equal block.
+
+Paragraphs are compared by the sets of their distinct 5-word shingles, and two
+match when the Jaccard similarity is at least 0.8.  Paragraphs of equal words
+are one class from the start.  Bands and rows of the MinHash are tuned: of all
+with at most ``MOST_BANDS`` bands that find a pair at the threshold with
+``RECALL`` probability, the ones that let through the fewest pairs below it.
+Classes that collide in a band come into one cluster; in each, the exact
+similarity decides, and the components of the matches are the repeated
+passages.  The first paragraph of a component, by (doc_id, start), stays and the
+others are removals; those of one document that go on together are merged.
+
+Collisions meet as one packed entry a stretch and key (see ``collisions``), so
+a passage that a third of all documents hold gathers nowhere; clusters are
+verified in bundles, large ones in blocks (see ``jaccard_join``).
+
+Cases: null text counts as empty; passages of fewer than ``PASSAGE`` words are
+found if they are lines of ``MIN_WORDS`` words, else perhaps; paragraphs of one
+document match each other as those of two do; rows that repeat both doc_id and
+text are one document, though they count as copies; of rows that repeat a
+doc_id with other texts each has its own paragraphs, whose places bear that
+doc_id; a null doc_id takes no part; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .collisions import HELD_KEYS, pack, part_of, parts_for, runs, unpack
+from .common import MOST_IDS, WORD, materialize, table
 from .components import connected_components
-from .jaccard_join import CLUSTER_MEMBERS, CLUSTER_SETS, cluster_links, verified_links
-from .tokens import U, _powers, join2, mix, row_groups, shingles, word_hashes
+from .jaccard_join import CLUSTER_MEMBERS, CLUSTER_SETS, texts_of, verified_links
+from .tokens import U, _bytes_of, _powers, join2, mix, row_groups, word_hashes
 
-MIN_WORDS = 20
+MIN_WORDS, BLOCK, PASSAGE = 20, 25, 50
 SIZE, PERCENT = 5, 80
-#: Words of the shortest passage that is found wherever lines break.
-PASSAGE = 50
-RECALL, MOST_BANDS = 0.999, 20
+RECALL, MOST_BANDS = 0.99, 5
+#: Text bytes that are cut into paragraphs at once.
+GROUP_BYTES = 2 << 20
 
 
 def tune(threshold: float, recall: float = RECALL, most_bands: int = MOST_BANDS) -> tuple[int, int]:
@@ -68,78 +79,6 @@ def band_keys(members: np.ndarray, starts: np.ndarray, bands: int, rows: int) ->
     return out
 
 
-def paragraphs(docs: DataFrame, min_words: int, size: int, percent: int) -> DataFrame:
-    """pid, doc_id, line, n_shingles, set_key, n_keys, keys of every paragraph that is compared; written once."""
-    bands, rows = tune(percent / 100)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in row_groups(whole, "text", 2 << 20):
-                words, at = word_hashes(batch.column(2))
-                kept = np.flatnonzero(np.diff(at) >= min_words)
-                sets = [shingles(words[at[k] : at[k + 1]], size) for k in kept]
-                n = np.fromiter(map(len, sets), np.int64, len(sets))
-                keys = band_keys(np.concatenate(sets), np.cumsum(n) - n, bands, rows) if sets else np.zeros((0, bands), U)
-                part = batch.take(pa.array(kept))
-                ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                offsets = pa.array(np.arange(len(sets) + 1) * bands, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n), pa.array(ids, pa.binary()), pa.array(np.full(len(sets), bands), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))],
-                    names=["doc", "line", "n_shingles", "set_key", "n_keys", "keys"],
-                )
-
-    lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
-    found = lines.where(F.length("text") >= 2 * min_words - 1).mapInArrow(run, "doc long, line int, n_shingles long, set_key binary, n_keys int, keys array<long>")
-    return materialize(found.withColumn("doc_id", F.monotonically_increasing_id()), "paragraphs")
-
-
-def repeated(docs: DataFrame, *, min_words: int = MIN_WORDS, size: int = SIZE, percent: int = PERCENT, cluster_sets: int = CLUSTER_SETS, cluster_members: int = CLUSTER_MEMBERS) -> DataFrame:
-    """Every paragraph of a component of two or more: doc_id, line, n_shingles,
-    component (its first paragraph as keep_doc_id and keep_line), copies, removed."""
-    rows = paragraphs(docs, min_words, size, percent)  # here doc_id is the paragraph's own id
-    # a class: paragraphs of one set; its first place is the one that stays of them
-    classes = rows.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"))
-    classes = materialize(classes, "paragraph-classes")
-    clusters = materialize(connected_components(cluster_links(rows)), "paragraph-clusters")
-    members = materialize(clusters.join(classes, clusters["node"] == classes["rep"]).select("rep", F.col("component").alias("cluster"), "n_shingles"), "paragraph-members")
-
-    # texts of the clusters' paragraphs alone
-    places = members.join(rows.select("doc_id", "doc", "line"), members["rep"] == rows["doc_id"]).select("rep", "doc", "line")
-    wanted = places.groupBy("doc").agg(F.collect_list(F.struct("line", "rep")).alias("wanted"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").hint("merge").join(materialize(wanted, "wanted-lines"), "doc")
-    texts = texts.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select(F.col("w.rep").alias("doc_id"), F.get("lines", F.col("w.line")).alias("text"))
-    texts = materialize(texts, "paragraph-texts")
-
-    links = verified_links(texts, members, percent, size, cluster_sets, cluster_members)
-    comps = connected_components(links)
-    labels = classes.join(comps, classes["rep"] == comps["node"], "left").select("set_key", F.coalesce("component", "rep").alias("label"), "first", "n")
-    labels = materialize(labels, "paragraph-labels")
-    groups = labels.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("copies")).where("copies > 1")
-    marked = materialize(labels.select("set_key", "label").join(groups, "label"), "repeated-classes")
-    out = rows.select("set_key", F.col("doc").alias("d"), "line", "n_shingles").join(marked, "set_key")
-    place = F.struct(F.col("d").alias("doc"), "line")
-    return out.select(F.col("d").alias("doc_id"), "line", "n_shingles", F.col("keep.doc").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), "copies", (place != F.col("keep")).alias("removed"))
-
-
-def removals(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, text without the removed lines, and how many went; documents without removals stay as they are."""
-    gone = repeated(docs, **how).where("removed").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    gone = materialize(gone, "removed-lines").withColumnRenamed("doc_id", "gone_id")
-    at, lines = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left"), gone["gone"]
-    left = F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(lines, i))
-    text = F.when(lines.isNull(), docs["text"]).otherwise(F.array_join(left, "\n"))
-    return at.select(*(docs[c] for c in docs.columns if c not in ("text", "n_removed")), text.alias("text"), F.coalesce(F.when(lines.isNotNull(), F.size(lines)), F.lit(0)).alias("n_removed"))
-
-
-def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every ``size`` neighbouring words, in order."""
-    if len(words) < size:
-        return words[:0]
-    power, inverse = _powers(len(words) + 1)
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(words) * power[: len(words)], dtype=U)])
-    return mix((sums[size:] - sums[:-size]) * inverse[: len(words) - size + 1])
-
-
 def _slide(pick, x: np.ndarray, width: int) -> np.ndarray:
     """``pick`` (minimum or maximum) of every ``width`` neighbours."""
     n, have = len(x) - width + 1, 1
@@ -148,73 +87,239 @@ def _slide(pick, x: np.ndarray, width: int) -> np.ndarray:
     return pick(x[:n], x[width - have : width - have + n])
 
 
-def anchors(words: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of the least short window among those of every ``passage`` words.
+class Words:
+    """The words of some texts, one after the other, and hashes of their runs."""
+
+    def __init__(self, texts: pa.Array):
+        self.hashes, self.at, self.places = word_hashes(texts, places=True)
+        self.text = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+        breaks = np.flatnonzero(_bytes_of(texts)[0] == 10)
+        self.line = np.searchsorted(breaks, self.places)
+        power, self.inverse = _powers(len(self.hashes) + 1)
+        self.sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(self.hashes) * power[: len(self.hashes)], dtype=U)])
+
+    def run_hashes(self, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A hash of the ``n`` words from each start on."""
+        return mix((self.sums[starts + n] - self.sums[starts]) * self.inverse[starts] + mix(n.astype(U)))
+
+    def lines(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, lengths) of the lines of at least ``min_words`` words."""
+        if not len(self.text):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new = np.concatenate([[True], (self.text[1:] != self.text[:-1]) | (self.line[1:] != self.line[:-1])])
+        starts = np.flatnonzero(new)
+        n = np.diff(np.append(starts, len(self.text)))
+        return starts[n >= min_words], n[n >= min_words]
+
+    def blocks(self, block: int, passage: int) -> np.ndarray:
+        """Starts of the blocks that are least in some run of ``passage`` words of one text."""
+        if len(self.text) < passage:
+            return np.zeros(0, np.int64)
+        all_ = np.arange(len(self.text) - block + 1)
+        h = self.run_hashes(all_, np.full(len(all_), block))
+        width = passage - block + 1
+        least = _slide(np.minimum, h, width)
+        least[self.text[: len(least)] != self.text[passage - 1 :]] = 0  # no run of one text
+        edge = np.zeros(width - 1, U)
+        return np.flatnonzero((_slide(np.maximum, np.concatenate([edge, least, edge]), width) == h) & (h != 0))
+
+    def paragraphs(self, min_words: int, block: int, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, lengths, classes): the class is a hash of the words."""
+        lines, n = self.lines(min_words)
+        blocks = self.blocks(block, passage)
+        starts, n = np.concatenate([lines, blocks]), np.concatenate([n, np.full(len(blocks), block)])
+        return starts, n, self.run_hashes(starts, n)
+
+    def shingle_sets(self, starts: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(shingles of the runs one after the other, where each run's begin); runs have ``size`` words at least."""
+        h = self.hashes[: len(self.hashes) - size + 1]
+        for k in range(1, size):
+            h = join2(h, self.hashes[k : len(self.hashes) - size + 1 + k])
+        n = n - size + 1
+        begin = np.cumsum(n) - n
+        return h[np.repeat(starts - begin, n) + np.arange(int(n.sum()))], begin
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
+
+
+def meetings(docs: DataFrame, min_words: int, size: int, bands: int, rows: int) -> DataFrame:
+    """(a, b) of classes, written once: links of classes that collide in a band, unverified, and (a, a) where a class stands in two places."""
+    spark = docs.sparkSession
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    per_word = (2 / (PASSAGE - BLOCK + 2) + 1 / (2 * min_words)) * (bands + 1)
+    parts = parts_for(n_bytes / 6 * per_word, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, holders, found, size_now = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal keys, holders, found, size_now
+            k, h, links = runs(np.concatenate(keys), np.concatenate(holders))
+            packed = [(*x, b"", b"") for x in pack(k, h, parts)]
+            if len(links):
+                packed.append((-1 - TaskContext.get().partitionId() % parts, links[:, 0].tobytes(), b"", links[:, 1].tobytes(), b"", b""))
+            classes, n = np.unique(np.concatenate(found), return_counts=True)
+            part = part_of(classes, parts)
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                packed.append((int(part[a]), b"", b"", b"", classes[a:b][n[a:b] == 1].tobytes(), classes[a:b][n[a:b] > 1].tobytes()))
+            keys, holders, found, size_now = [], [], [], 0
+            cols = list(zip(*packed))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "keys", "marks", "holders", "once", "more"])
 
-    Which one it is depends on those words alone, so equal runs of ``passage``
-    words have an equal anchor.
-    """
-    short = passage // 2
-    h, width = window_hashes(words, short), passage - short + 1
-    if len(h) < width:
-        return h[:0], np.zeros(0, np.int64)
-    least = _slide(np.minimum, h, width)
-    edge = np.zeros(width - 1, U)
-    at = np.flatnonzero(_slide(np.maximum, np.concatenate([edge, least, edge]), width) == h)
-    return h[at], at
+        for whole in batches:
+            for batch in row_groups(whole, "text", GROUP_BYTES):
+                words = Words(batch.column(0))
+                starts, n, classes = words.paragraphs(min_words, BLOCK, PASSAGE)
+                if not len(starts):
+                    continue
+                found.append(classes)
+                own, first = np.unique(classes, return_index=True)
+                keys.append(band_keys(*words.shingle_sets(starts[first], n[first], size), bands, rows).reshape(-1))
+                holders.append(np.repeat(own.view(np.int64), bands))
+                size_now += len(keys[-1]) + len(classes)
+                if size_now >= HELD_KEYS:
+                    yield out()
+        if found:
+            yield out()
+
+    def meet(rows: pa.Table) -> pa.Table:
+        col = lambda c: rows.column(c).to_pylist()
+        if rows.column("part")[0].as_py() < 0:
+            a, b = (np.frombuffer(b"".join(col(c)), np.int64) for c in ("keys", "holders"))
+        else:
+            links = runs(*unpack(zip(col("keys"), col("marks"), col("holders"))))[2]
+            more = np.frombuffer(b"".join(col("more")), np.int64)
+            classes, n = np.unique(np.concatenate([np.frombuffer(b"".join(col("once")), np.int64), more, more]), return_counts=True)
+            again = classes[n > 1]
+            a, b = np.concatenate([links[:, 0], again]), np.concatenate([links[:, 1], again])
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    packed = _texts(docs).select("text").mapInArrow(ship, "part int, keys binary, marks binary, holders binary, once binary, more binary")
+    return materialize(packed.groupBy("part").applyInArrow(meet, "a long, b long"), "paragraph-meetings")
+
+
+def places(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
+    """h, doc, start, n_words of every paragraph whose class is wanted (one column, h); written once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in row_groups(whole, "text", GROUP_BYTES):
+                words = Words(batch.column(1))
+                starts, n, classes = words.paragraphs(min_words, BLOCK, PASSAGE)
+                text = words.text[starts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(classes.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(starts - words.at[text]), pa.array(n)], names=["h", "doc", "start", "n_words"]
+                )
 
-def passages(docs: DataFrame, *, words: int = PASSAGE) -> DataFrame:
-    """Every run of ``words`` or more words that stands in two places, wherever lines break.
+    found = _texts(docs).mapInArrow(run, "h long, doc long, start long, n_words long")
+    few = wanted.count() <= MOST_IDS
+    return materialize(found.join(F.broadcast(wanted) if few else wanted, "h"), "paragraph-places")
 
-    One row a maximal run of one document whose words stand at one other place
-    (keep_doc_id, keep_start: the first of all places), or are such a first
-    place themselves: doc_id, start, n_words, keep_doc_id, keep_start, copies
-    (the most places that a part of it has), removed.  Words are counted from 0
-    over the whole text, in lower case.
 
-    A run of that length has an anchor, so only windows around anchors that
-    occur twice are compared, all of them by a 64-bit hash.
-    """
+def paragraph_texts(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """doc_id (the class) and text of one paragraph a class; first: rep, doc, start, n_words."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in row_groups(whole, "text", 2 << 20):
-                found, at = word_hashes(batch.column(1))
-                got = [anchors(found[a:b], words) for a, b in zip(at[:-1], at[1:])]
-                n = [len(h) for h, _ in got]
-                h, place = (np.concatenate(x) for x in zip(*got))
-                doc = np.repeat(batch.column(0).to_numpy(), n)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.array(h.view(np.int64))], names=["doc", "place", "h"])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short = words // 2
-        for whole in batches:
-            for batch in row_groups(whole, "text", 1 << 20):
-                found, at = word_hashes(batch.column(1))
-                for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
-                    h = window_hashes(found[a:b], words)
-                    near = batch.column(2)[k].values.to_numpy()[:, None] - np.arange(words - short + 1)
-                    start = np.unique(near[(near >= 0) & (near < len(h))])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), batch.column(0)[k].as_py(), np.int64)), pa.array(start), pa.array(h[start].view(np.int64))], names=["doc", "start", "h"])
-
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.length("text") >= 2 * words - 1)
-    spots = materialize(texts.mapInArrow(find, "doc long, place long, h long"), "anchors")
-    twice = materialize(spots.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated-anchors")
-    at = materialize(spots.join(twice, "h").groupBy("doc").agg(F.collect_set("place").alias("places")), "anchor-places")
-    rows = texts.hint("merge").join(at, "doc").select("doc", "text", "places").mapInArrow(spread, "doc long, start long, h long")
-    rows = materialize(rows, "passage-windows")
-    groups = rows.groupBy("h").agg(F.min(F.struct("doc", "start")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = rows.join(materialize(groups, "repeated-windows"), "h").select("doc", "start", F.col("keep.doc").alias("keep_doc"), (F.col("keep.start") - F.col("start")).alias("shift"), "n")
-    run = F.col("start") - F.dense_rank().over(Window.partitionBy("doc", "keep_doc", "shift").orderBy("start"))
-    runs = marked.withColumn("run", run).groupBy("doc", "keep_doc", "shift", "run").agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + words).alias("n_words"), F.max("n").alias("copies"))
-    return runs.select(
-        F.col("doc").alias("doc_id"), "start", "n_words", F.col("keep_doc").alias("keep_doc_id"), (F.col("start") + F.col("shift")).alias("keep_start"), "copies",
-        ((F.col("doc") != F.col("keep_doc")) | (F.col("shift") != 0)).alias("removed"),
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(WORD)
+        for batch in batches:
+            reps, texts = [], []
+            for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = word.findall(text)
+                for w in want:
+                    got = " ".join(words[w["start"] : w["start"] + w["n_words"]])
+                    one = Words(pa.array([got]))
+                    n = np.array([len(one.hashes)])
+                    if n[0] and one.run_hashes(np.array([0]), n).view(np.int64)[0] == w["rep"]:  # not another row's of this doc_id
+                        reps.append(w["rep"])
+                        texts.append(got)
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    want = materialize(first.groupBy("doc").agg(F.collect_list(F.struct("rep", "start", "n_words")).alias("want")), "wanted-paragraphs")
+    few = first.count() <= MOST_IDS
+    at = _texts(docs).join(F.broadcast(want), "doc") if few else _texts(docs).hint("merge").join(want, "doc")
+    return materialize(at.select("text", "want").mapInArrow(run, "doc_id long, text string").dropDuplicates(["doc_id"]), "paragraph-texts")
+
+
+def repeated(
+    docs: DataFrame,
+    *,
+    min_words: int = MIN_WORDS,
+    size: int = SIZE,
+    percent: int = PERCENT,
+    recall: float = RECALL,
+    most_bands: int = MOST_BANDS,
+    cluster_sets: int = CLUSTER_SETS,
+    cluster_members: int = CLUSTER_MEMBERS,
+) -> DataFrame:
+    """Every paragraph of a component of two or more: doc_id, start, n_words
+    (words counted from 0 over the whole text), the component's first paragraph
+    as keep_doc_id and keep_start, copies, removed."""
+    if min_words < size:
+        raise ValueError("a paragraph has at least one whole shingle")
+    met = meetings(docs, min_words, size, *tune(percent / 100, recall, most_bands))
+    clusters = materialize(connected_components(met.where("a <> b")), "paragraph-clusters")
+    wanted = materialize(met.where("a = b").select(F.col("a").alias("h")).unionByName(clusters.select(F.col("node").alias("h"))).distinct(), "wanted-classes")
+    found = places(docs, wanted, min_words)
+    classes = materialize(found.groupBy("h").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words")), "paragraph-classes")
+
+    at = clusters.join(classes, clusters["node"] == classes["h"])
+    members = materialize(at.select(F.col("h").alias("rep"), F.col("component").alias("cluster"), F.col("n_words").alias("n_shingles"), "first.doc", "first.start", "n_words"), "paragraph-members")
+    texts = paragraph_texts(docs, members.select("rep", "doc", "start", "n_words"))
+    links = verified_links(texts_of(texts), members.select("rep", "cluster", "n_shingles"), percent, size, cluster_sets, cluster_members)
+    comps = materialize(connected_components(links), "paragraph-components")
+
+    labels = classes.join(comps, classes["h"] == comps["node"], "left").select("h", F.coalesce("component", "h").alias("label"), "first", "n")
+    labels = materialize(labels, "paragraph-labels")
+    groups = materialize(labels.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("copies")).where("copies > 1"), "paragraph-groups")
+    marked = materialize(labels.select("h", "label").join(groups, "label").select("h", "keep", "copies"), "repeated-classes")
+    out = found.join(marked, "h")
+    place = F.struct("doc", "start")
+    return out.select(F.col("doc").alias("doc_id"), "start", "n_words", F.col("keep.doc").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "copies", (place != F.col("keep")).alias("removed"))
+
+
+def passages(docs: DataFrame, **how) -> DataFrame:
+    """As ``repeated``, with paragraphs of one document merged that overlap or
+    touch and whose first places go on alike; copies is the most of one of them."""
+    rows = repeated(docs, **how).withColumn("shift", F.col("keep_start") - F.col("start")).withColumn("end", F.col("start") + F.col("n_words"))
+    same = ["doc_id", "keep_doc_id", "shift", "removed"]
+    order = Window.partitionBy(*same).orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = rows.groupBy(*same, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("copies").alias("copies"))
+    return merged.select("doc_id", "start", (F.col("end") - F.col("start")).alias("n_words"), "keep_doc_id", (F.col("start") + F.col("shift")).alias("keep_start"), "copies", "removed")
+
+
+def removals(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with the removed passages cut out of the texts, each word with
+    the white space after it, and n_removed, the words that went; documents
+    without removals stay as they are."""
+
+    @F.pandas_udf("struct<text string, n long>")
+    def cut(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+        word = re.compile(WORD)
+        out = []
+        for text, ranges in zip(texts, gone):
+            starts = [m.start() for m in word.finditer(text)] + [len(text)]
+            left, n, at = [text[: starts[0]]], 0, 0
+            for a, b in sorted((r["start"], r["end"]) for r in ranges):
+                left.append(text[starts[at] : starts[max(a, at)]])
+                n += max(b - max(a, at), 0)
+                at = max(at, b)
+            out.append(("".join(left) + text[starts[at] :], n))
+        return pd.DataFrame(out, columns=["text", "n"])
+
+    gone = passages(docs, **how).where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n_words")).alias("end"))).alias("gone"))
+    gone = materialize(gone, "removed-passages").withColumnRenamed("doc_id", "gone_id")
+    at = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left")
+    hit = gone["gone"].isNotNull() & docs["text"].isNotNull()
+    own = [docs[c] for c in docs.columns if c not in ("text", "n_removed")]
+    touched = at.where(hit).select(*own, cut(docs["text"], gone["gone"]).alias("cut text")).select(*(c for c in docs.columns if c not in ("text", "n_removed")), F.col("cut text.text").alias("text"), F.col("cut text.n").alias("n_removed"))
+    return at.where(~hit).select(*own, docs["text"], F.lit(0).cast("long").alias("n_removed")).unionByName(touched)
 
 
 def repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-equal paragraphs (start and n_words are null) and equal passages (line, n_shingles and keep_line are null)."""
-    docs = table(spark, sf_dir, "documents")
-    return repeated(docs).unionByName(passages(docs), allowMissingColumns=True)
+    """All passages that stand in two places of ``documents`` or more."""
+    return passages(table(spark, sf_dir, "documents"))

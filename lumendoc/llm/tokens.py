@@ -61,12 +61,12 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, offsets of the texts' words)."""
+def word_hashes(texts: pa.Array, places: bool = False) -> tuple[np.ndarray, ...]:
+    """(hashes of all words in order, offsets of the texts' words); with ``places``, also at which byte of all texts each begins."""
     raw, rows = _bytes_of(texts)
     begins = np.zeros(len(raw) + 1, dtype=bool)
     begins[rows[:-1]] = True
-    hashes, places = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    hashes, found_at = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     start = 0
     while start < len(raw):
         end = min(start + STRETCH, len(raw))
@@ -94,10 +94,10 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             low = np.where(first > 0, sums[np.maximum(first, 1) - 1], U(0))
             found = (sums[last] - low) * inverse[first]
             hashes.append(mix(found ^ ((last - first + 1).astype(U) * U(0xD6E8FEB86659FD93))))
-            places.append(first + start)
+            found_at.append(first + start)
         start = end
-    h, p = np.concatenate(hashes), np.concatenate(places)
-    return h, np.searchsorted(p, rows)
+    h, p = np.concatenate(hashes), np.concatenate(found_at)
+    return (h, np.searchsorted(p, rows), p) if places else (h, np.searchsorted(p, rows))
 
 
 def shingles(words: np.ndarray, size: int = 3) -> np.ndarray:

@@ -5,6 +5,7 @@ import gzip
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,14 +36,49 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def paragraphs_of(text, block=substring_dedup.BLOCK, passage=substring_dedup.PASSAGE):
+    """(start, words) of a text's paragraphs: lines by plain splitting, blocks as the module places them."""
+    out, at = set(), 0
+    for line in (text or "").split("\n"):
+        n = len(plain_words(line))
+        if n >= substring_dedup.MIN_WORDS:
+            out.add((at, n))
+        at += n
+    blocks = substring_dedup.Words(pa.array([text or ""])).blocks(block, passage)
+    return out | {(int(b), block) for b in blocks}
+
+
+def test_every_run_of_a_passage_holds_the_same_block():
+    rnd = random.Random(8)
+    shared = [f"s{k}" for k in range(400)]
+    at = collections.defaultdict(set)
+    for k in range(60):
+        a = rnd.randrange(300)
+        run = shared[a : a + rnd.randrange(50, 100)]
+        words = [f"x{rnd.randrange(10**6)}" for _ in range(rnd.randrange(80))] + run + [f"y{rnd.randrange(10**6)}" for _ in range(rnd.randrange(80))]
+        blocks = {s for s, n in paragraphs_of("".join(w + rnd.choice([" ", " ", "\n"]) for w in words)) if n == substring_dedup.BLOCK}
+        for i in range(len(words) - 49):
+            held = frozenset(b - i for b in blocks if i <= b <= i + 25)
+            assert held
+            at[tuple(words[i : i + 50])].add(held)
+    assert all(frozenset.intersection(*x) for x in at.values())
+    # the same words give the same blocks, whatever texts stand beside them in the batch
+    text = " ".join(shared)
+    alone = substring_dedup.Words(pa.array([text])).blocks(25, 50).tolist()
+    beside = substring_dedup.Words(pa.array(["a b " * 40, text, None, "c " * 30]))
+    assert [int(b - beside.at[1]) for b in beside.blocks(25, 50) if beside.text[b] == 1] == alone
+
+
 @pytest.mark.parametrize("limits", [{}, {"cluster_sets": 3}])
 def test_substring_dedup(docs, empty, limits):
-    got = {(r["doc_id"], r["line"]): r for r in substring_dedup.repeated(docs, **limits).collect()}
+    rows = substring_dedup.repeated(docs, recall=0.99999, most_bands=60, **limits).collect()
+    got = {(r["doc_id"], r["start"], r["n_words"]): r for r in rows}
     paras = {}
     for r in docs.select("doc_id", "text").collect():
-        for k, line in enumerate((r["text"] or "").split("\n")):
-            if len(plain_words(line)) >= substring_dedup.MIN_WORDS:
-                paras[r["doc_id"], k] = shingle_set(line, 5)
+        words = plain_words(r["text"])
+        for start, n in paragraphs_of(r["text"]):
+            w = words[start : start + n]
+            paras[r["doc_id"], start, n] = frozenset(zip(*(w[k:] for k in range(5))))
     root = {k: k for k in paras}
 
     def find(x):
@@ -56,10 +92,10 @@ def test_substring_dedup(docs, empty, limits):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     sizes = collections.Counter(find(k) for k in paras)
-    want = {k: find(k) for k in paras if sizes[find(k)] > 1}
-    assert {k: (r["keep_doc_id"], r["keep_line"]) for k, r in got.items()} == want
-    assert all(r["removed"] == (k != want[k]) and r["copies"] == sizes[want[k]] for k, r in got.items())
-    assert {1000, 1003, 2000} <= {d for d, _ in got} and not {1001, 2002} & {d for d, _ in got}
+    want = {k: find(k)[:2] for k in paras if sizes[find(k)] > 1}
+    assert {k: (r["keep_doc_id"], r["keep_start"]) for k, r in got.items()} == want
+    assert all(r["removed"] == (k[:2] != want[k]) and r["copies"] == sizes[find(k)] for k, r in got.items())
+    assert {1000, 1003, 2000} <= {k[0] for k in got} and not {1001, 2002} & {k[0] for k in got}
     left = substring_dedup.removals(docs, **limits)
     assert left.where("doc_id = 2000").first()["text"] == ""
     assert left.count() == docs.count() and set(docs.columns) < set(left.columns)
@@ -69,31 +105,44 @@ def test_substring_dedup(docs, empty, limits):
 def test_passages_inside_lines(spark, tmp_path):
     rnd = random.Random(2)
     some = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
-    runs = [some(n) for n in (49, 50, 54, 75, 200)]
-    rows = []
+    runs = [some(n) for n in (20, 50, 54, 75, 200)]
+    rows, held = [], collections.defaultdict(list)
     for k in range(24):
         words = some(rnd.randrange(150))
-        for run in rnd.sample(runs, 2) + ([runs[3]] if k % 5 == 0 else []):
-            words += [x.upper() if k % 2 else x for x in run] + some(rnd.randrange(150))
+        for j in rnd.sample(range(5), 2) + ([3] if k % 5 == 0 else []):
+            held[k].append((len(words), len(runs[j]), j))
+            words += [x.upper() if k % 2 else x for x in runs[j]] + some(1 + rnd.randrange(150))
         rows.append((k, "".join(w + rnd.choice([" "] * 40 + ["\n"]) for w in words)))
-    rows += [(100, None), (101, ""), (None, rows[0][1])]
+    rows += [(100, None), (101, ""), (None, rows[0][1]), (102, " ".join(some(300)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    at = collections.defaultdict(list)
-    for k, t in rows:
-        w = plain_words(t) if k is not None else []
-        for i in range(len(w) - 49):
-            at[tuple(w[i : i + 50])].append((k, i))
-    want = {p: (min(places), len(places)) for places in at.values() if len(places) > 1 for p in places}
-    got = {}
-    for r in substring_dedup.passages(docs).collect():
-        for i in range(r["n_words"] - 49):
-            assert (r["doc_id"], r["start"] + i) not in got
-            got[r["doc_id"], r["start"] + i] = (r["keep_doc_id"], r["keep_start"] + i)
-        assert r["removed"] == ((r["doc_id"], r["start"]) != (r["keep_doc_id"], r["keep_start"]))
-    assert got == {p: keep for p, (keep, _) in want.items()}
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r["doc_id"] for r in substring_dedup.repeats_query(spark, str(tmp_path)).collect()} >= {d for d, _ in want}
+    got = collections.defaultdict(list)
+    for r in substring_dedup.repeats_query(spark, str(tmp_path)).collect():
+        got[r["doc_id"]].append((r["start"], r["start"] + r["n_words"]))
+        assert r["removed"] == ((r["doc_id"], r["start"]) != (r["keep_doc_id"], r["keep_start"]))
+    for k, mine in held.items():
+        for start, n, j in mine:
+            if n >= 50 and sum(j == x for other in held.values() for *_, x in other) > 1:
+                assert any(start <= a and b <= start + n for a, b in got[k]), (k, start, n)
+        shared = {i for start, n, _ in mine for i in range(start, start + n)}
+        for a, b in got[k]:  # a line that is nearly all of a shared run may have other words at its ends
+            assert len(shared & set(range(a, b))) >= 0.8 * (b - a), (k, a, b)
+    assert not {100, 101, 102, None} & set(got)
     assert substring_dedup.passages(docs.limit(0)).count() == 0
+    cut = {r["doc_id"]: r for r in substring_dedup.removals(docs).collect() if r["doc_id"] is not None}
+    for k, t in rows[:24]:
+        gone = len(plain_words(t)) - len(plain_words(cut[k]["text"]))
+        assert gone == cut[k]["n_removed"] and set(plain_words(cut[k]["text"])) <= set(plain_words(t))
+    assert cut[102]["text"] == rows[-1][1] and sum(r["n_removed"] for r in cut.values()) > 300
+
+
+def test_substring_dedup_of_repeated_ids(spark):
+    rnd = random.Random(9)
+    line = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(30))
+    a, b, c = line(), line(), line()
+    rows = [(1, a), (1, b), (2, f"{c}\n{b}"), (3, c), (3, c)]
+    got = {(r["doc_id"], r["start"], r["n_words"], r["keep_doc_id"], r["keep_start"], r["removed"]) for r in substring_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_words"] == 30}
+    assert got == {(1, 0, 30, 1, 0, False), (2, 30, 30, 1, 0, True), (2, 0, 30, 2, 0, False), (3, 0, 30, 2, 0, True)}
 
 
 def test_bands_are_tuned():
