@@ -358,9 +358,9 @@ def _joiner(percent: int, size: int):
     return run
 
 
-def _join(rows: DataFrame, percent: int, size: int) -> DataFrame:
+def _join(rows: DataFrame, joiner) -> DataFrame:
     """rows: bundle, cluster, rep, known (component so far, -1 if none), text."""
-    return rows.groupBy("bundle").applyInArrow(_joiner(percent, size), "rep long, root long")
+    return rows.groupBy("bundle").applyInArrow(joiner, "rep long, root long")
 
 
 def texts_of(docs: DataFrame):
@@ -377,9 +377,11 @@ def texts_of(docs: DataFrame):
     return add
 
 
-def verified_links(with_texts, members: DataFrame, percent: int, size: int, cluster_sets: int, cluster_members: int) -> DataFrame:
+def verified_links(with_texts, members: DataFrame, percent: int, size: int, cluster_sets: int, cluster_members: int, joiner=None) -> DataFrame:
     """(rep, root) links of all clusters; members: rep, cluster, n_shingles;
-    ``with_texts`` adds the column text to rows with rep."""
+    ``with_texts`` adds the column text to rows with rep; ``joiner`` finds the
+    links of a bundle (by default with an R-tree for each cluster)."""
+    joiner = joiner or _joiner(percent, size)
     sizes = materialize(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("members")).where("sets > 1"), "cluster-sizes")  # one set alone: its copies brought it here
     big = (F.col("sets") > cluster_sets) | (F.col("members") > cluster_members)
     small_total, n_big = sizes.agg(F.sum(F.when(~big, F.col("members"))), F.count_if(big)).first()
@@ -387,7 +389,7 @@ def verified_links(with_texts, members: DataFrame, percent: int, size: int, clus
 
     small = members.join(sizes.where(~big).select("cluster"), "cluster")
     plan = small.select("rep", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(bundles)).alias("bundle"), F.lit(-1).cast("long").alias("known"))
-    links = _join(with_texts(plan), percent, size)
+    links = _join(with_texts(plan), joiner)
     if not n_big:
         return links
     links = materialize(links, "small-links")
@@ -399,7 +401,7 @@ def verified_links(with_texts, members: DataFrame, percent: int, size: int, clus
     mine = large.where("rep <> cluster").select("rep", "cluster", block("rep", n_blocks).alias("block"))
     firsts = large.where("rep = cluster").select("rep", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), (n_blocks - 1).cast("long"))).alias("block"))
     plan = mine.unionByName(firsts).select("rep", "cluster", F.xxhash64("cluster", "block").alias("bundle"), F.lit(-1).cast("long").alias("known"))
-    begun = materialize(_join(with_texts(plan), percent, size), "block-links")
+    begun = materialize(_join(with_texts(plan), joiner), "block-links")
 
     # then blocks of different components, two at a time
     comps = materialize(connected_components(begun), "block-components")
@@ -417,7 +419,7 @@ def verified_links(with_texts, members: DataFrame, percent: int, size: int, clus
     placed = at.join(where, ["cluster", "known"])
     placed = placed.withColumn("k", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     plan = placed.join(tiles, ["cluster", "home", "k"]).select("rep", "cluster", "bundle", "known")
-    crossed = _join(with_texts(plan), percent, size)
+    crossed = _join(with_texts(plan), joiner)
     return links.unionByName(begun).unionByName(crossed)
 
 

@@ -11,6 +11,10 @@ match when the Jaccard similarity is at least 0.8.  Paragraphs of equal words
 are one class from the start.  Bands and rows of the MinHash are tuned: of all
 with at most ``MOST_BANDS`` bands that find a pair at the threshold with
 ``RECALL`` probability, the ones that let through the fewest pairs below it.
+Blocks, of which there are many, go into the first ``BLOCK_BANDS`` of the bands:
+equal ones are a class already, and of unequal ones only those that differ in
+an outermost word reach 0.8 (15 of 17 shingles), which these bands find with a
+probability of 0.97.
 Classes that collide in a band come into one cluster; in each, the exact
 similarity decides, and the components of the matches are the repeated
 passages.  The first paragraph of a component, by (doc_id, start), stays and the
@@ -23,7 +27,7 @@ verified in bundles, large ones in blocks (see ``jaccard_join``).
 Cases: null text counts as empty; passages of fewer than ``PASSAGE`` words are
 found if they are lines of ``MIN_WORDS`` words, else perhaps; paragraphs of one
 document match each other as those of two do; rows that repeat both doc_id and
-text are one document, though they count as copies; of rows that repeat a
+text are one document; of rows that repeat a
 doc_id with other texts each has its own paragraphs, whose places bear that
 doc_id; a null doc_id takes no part; an empty table gives an empty result;
 other columns are ignored.
@@ -42,14 +46,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .collisions import HELD_KEYS, pack, part_of, parts_for, runs, unpack
-from .common import MOST_IDS, WORD, materialize, table
+from .common import WORD, materialize, table
 from .components import connected_components
-from .jaccard_join import CLUSTER_MEMBERS, CLUSTER_SETS, texts_of, verified_links
+from .jaccard_join import CLUSTER_MEMBERS, CLUSTER_SETS, link_sets, verified_links
 from .tokens import U, _bytes_of, _powers, join2, mix, row_groups, word_hashes
 
-MIN_WORDS, BLOCK, PASSAGE = 20, 25, 50
+MIN_WORDS, BLOCK, PASSAGE = 20, 20, 50
 SIZE, PERCENT = 5, 80
-RECALL, MOST_BANDS = 0.99, 5
+RECALL, MOST_BANDS, BLOCK_BANDS = 0.99, 10, 4
+#: Of clusters of so many paragraphs all pairs are looked at.
+SMALL_CLUSTER = 16
 #: Text bytes that are cut into paragraphs at once.
 GROUP_BYTES = 2 << 20
 
@@ -126,7 +132,7 @@ class Words:
     def paragraphs(self, min_words: int, block: int, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, lengths, classes): the class is a hash of the words."""
         lines, n = self.lines(min_words)
-        blocks = self.blocks(block, passage)
+        blocks = np.setdiff1d(self.blocks(block, passage), lines[n == block])
         starts, n = np.concatenate([lines, blocks]), np.concatenate([n, np.full(len(blocks), block)])
         return starts, n, self.run_hashes(starts, n)
 
@@ -144,11 +150,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
 
 
-def meetings(docs: DataFrame, min_words: int, size: int, bands: int, rows: int) -> DataFrame:
+def meetings(docs: DataFrame, min_words: int, size: int, bands: int, rows: int, block_bands: int) -> DataFrame:
     """(a, b) of classes, written once: links of classes that collide in a band, unverified, and (a, a) where a class stands in two places."""
     spark = docs.sparkSession
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    per_word = (2 / (PASSAGE - BLOCK + 2) + 1 / (2 * min_words)) * (bands + 1)
+    block_bands = min(bands, block_bands)
+    per_word = 2 / (PASSAGE - BLOCK + 2) * (block_bands + 1) + 1 / (3 * min_words) * (bands + 1)
     parts = parts_for(n_bytes / 6 * per_word, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +184,13 @@ def meetings(docs: DataFrame, min_words: int, size: int, bands: int, rows: int)
                     continue
                 found.append(classes)
                 own, first = np.unique(classes, return_index=True)
-                keys.append(band_keys(*words.shingle_sets(starts[first], n[first], size), bands, rows).reshape(-1))
-                holders.append(np.repeat(own.view(np.int64), bands))
-                size_now += len(keys[-1]) + len(classes)
+                is_block = n[first] == BLOCK
+                for some, most in ((is_block, block_bands), (~is_block, bands)):
+                    if some.any():
+                        keys.append(band_keys(*words.shingle_sets(starts[first[some]], n[first[some]], size), most, rows).reshape(-1))
+                        holders.append(np.repeat(own[some].view(np.int64), most))
+                        size_now += len(keys[-1])
+                size_now += len(classes)
                 if size_now >= HELD_KEYS:
                     yield out()
         if found:
@@ -215,32 +226,87 @@ def places(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
                 )
 
     found = _texts(docs).mapInArrow(run, "h long, doc long, start long, n_words long")
-    few = wanted.count() <= MOST_IDS
-    return materialize(found.join(F.broadcast(wanted) if few else wanted, "h"), "paragraph-places")
+    return materialize(found.join(wanted, "h"), "paragraph-places")
 
 
-def paragraph_texts(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """doc_id (the class) and text of one paragraph a class; first: rep, doc, start, n_words."""
+def paragraph_texts(docs: DataFrame, first: DataFrame):
+    """A function that adds the texts to a plan's rows (by rep, a class); first: one place a class (rep, doc, start, n_words).
+
+    The documents are found by sort-merge at any size, as most of them hold a
+    paragraph that collides with another.
+    """
+    plan_type = "rep long, cluster long, bundle long, known long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(WORD)
         for batch in batches:
-            reps, texts = [], []
-            for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = word.findall(text)
-                for w in want:
-                    got = " ".join(words[w["start"] : w["start"] + w["n_words"]])
-                    one = Words(pa.array([got]))
-                    n = np.array([len(one.hashes)])
-                    if n[0] and one.run_hashes(np.array([0]), n).view(np.int64)[0] == w["rep"]:  # not another row's of this doc_id
-                        reps.append(w["rep"])
-                        texts.append(got)
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    want = materialize(first.groupBy("doc").agg(F.collect_list(F.struct("rep", "start", "n_words")).alias("want")), "wanted-paragraphs")
-    few = first.count() <= MOST_IDS
-    at = _texts(docs).join(F.broadcast(want), "doc") if few else _texts(docs).hint("merge").join(want, "doc")
-    return materialize(at.select("text", "want").mapInArrow(run, "doc_id long, text string").dropDuplicates(["doc_id"]), "paragraph-texts")
+            for group in row_groups(batch, "text", GROUP_BYTES):
+                texts, lists = group.column(0).to_pylist(), group.column(1)
+                want = pa.RecordBatch.from_struct_array(lists.flatten())
+                text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+                words = Words(group.column(0))
+                start, n = want.column("start").to_numpy(), want.column("n_words").to_numpy()
+                fits = start + n <= np.diff(words.at)[text]
+                hashes = words.run_hashes((words.at[text] + start)[fits], n[fits]).view(np.int64)
+                fits[fits] = hashes == want.column("rep").to_numpy()[fits]  # else another row's of this doc_id
+                at, found, last = np.flatnonzero(fits), [], -1
+                for k in at.tolist():
+                    if text[k] != last:
+                        last, own = text[k], word.findall(texts[text[k]])
+                    found.append(" ".join(own[start[k] : start[k] + n[k]]))
+                own = want.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("rep", "cluster", "bundle", "known")), pa.array(found, pa.string())], names=["rep", "cluster", "bundle", "known", "text"])
+
+    def add(plan: DataFrame) -> DataFrame:
+        placed = plan.select("rep", "cluster", F.col("bundle").cast("long").alias("bundle"), "known").join(first, "rep")
+        want = placed.groupBy("doc").agg(F.collect_list(F.struct("rep", "cluster", "bundle", "known", "start", "n_words")).alias("want"))
+        want = materialize(want, "wanted-paragraphs")
+        return _texts(docs).hint("merge").join(want, "doc").select("text", "want").mapInArrow(run, f"{plan_type}, text string")
+
+    return add
+
+
+def pair_joiner(percent: int, size: int):
+    """Links (rep, root) of a bundle's paragraphs: every pair of a small cluster
+    by its exact similarity, all pairs at once; large clusters as in ``jaccard_join``."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        words = Words(rows.column("text").combine_chunks())
+        reps, cluster, known = (rows.column(c).to_numpy() for c in ("rep", "cluster", "known"))
+        n = np.diff(words.at)
+        members, _ = words.shingle_sets(words.at[:-1], n, size)
+        owner = np.repeat(np.arange(len(n)), n - size + 1)
+        own, first = np.unique(mix(members ^ mix(owner.astype(U) + U(1))), return_index=True)  # (owner, shingle) once each
+        by_owner = np.lexsort((members[first], owner[first]))
+        members, owner = members[first][by_owner], owner[first][by_owner]
+        sizes = np.bincount(owner, minlength=len(n))
+        begin = np.cumsum(sizes) - sizes
+
+        order = np.lexsort((reps, cluster))
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(cluster[order]) != 0, [True]]))
+        count = np.diff(cuts)
+        out = [np.zeros((0, 2), np.int64)]
+        for k in range(2, SMALL_CLUSTER + 1):
+            groups = order[cuts[:-1][count == k][:, None] + np.arange(k)]
+            for some in np.array_split(groups, max(1, len(groups) * k * k // 200_000)):
+                i, j = (some[:, x].reshape(-1) for x in np.triu_indices(k, 1))
+                pair = np.repeat(np.arange(len(i)), sizes[i])
+                at = np.repeat(begin[i] - (np.cumsum(sizes[i]) - sizes[i]), sizes[i]) + np.arange(len(pair))
+                asked = mix(members[at] ^ mix(j[pair].astype(U) + U(1)))
+                hit = own[np.minimum(np.searchsorted(own, asked), len(own) - 1)] == asked
+                shared = np.bincount(pair[hit], minlength=len(i))
+                alike = 100 * shared >= percent * (sizes[i] + sizes[j] - shared)
+                out.append(np.stack([reps[i[alike]], reps[j[alike]]], 1))
+        for a, b in zip(cuts[:-1][count > SMALL_CLUSTER], cuts[1:][count > SMALL_CLUSTER]):
+            group = order[a:b]
+            labels = known[group].tolist() if (known[group] >= 0).all() else None
+            root = link_sets([members[begin[k] : begin[k] + sizes[k]] for k in group], percent, labels)
+            out.append(np.stack([reps[group], reps[group[root]]], 1))
+        links = np.concatenate(out)
+        links = links[links[:, 0] != links[:, 1]]
+        return pa.table({"rep": pa.array(links[:, 0]), "root": pa.array(links[:, 1])})
+
+    return run
 
 
 def repeated(
@@ -251,33 +317,38 @@ def repeated(
     percent: int = PERCENT,
     recall: float = RECALL,
     most_bands: int = MOST_BANDS,
+    block_bands: int = BLOCK_BANDS,
     cluster_sets: int = CLUSTER_SETS,
     cluster_members: int = CLUSTER_MEMBERS,
 ) -> DataFrame:
-    """Every paragraph of a component of two or more: doc_id, start, n_words
-    (words counted from 0 over the whole text), the component's first paragraph
-    as keep_doc_id and keep_start, copies, removed."""
+    """Every paragraph of a component that has two which do not overlap: doc_id,
+    start, n_words (words counted from 0 over the whole text), the component's
+    first paragraph as keep_doc_id and keep_start, copies (paragraphs of the
+    component), removed (all but the first and what overlaps it)."""
     if min_words < size:
         raise ValueError("a paragraph has at least one whole shingle")
-    met = meetings(docs, min_words, size, *tune(percent / 100, recall, most_bands))
+    met = meetings(docs, min_words, size, *tune(percent / 100, recall, most_bands), block_bands)
     clusters = materialize(connected_components(met.where("a <> b")), "paragraph-clusters")
     wanted = materialize(met.where("a = b").select(F.col("a").alias("h")).unionByName(clusters.select(F.col("node").alias("h"))).distinct(), "wanted-classes")
     found = places(docs, wanted, min_words)
-    classes = materialize(found.groupBy("h").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words")), "paragraph-classes")
+    place = F.struct("doc", "start", "n_words")
+    classes = materialize(found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")), "paragraph-classes")
 
     at = clusters.join(classes, clusters["node"] == classes["h"])
-    members = materialize(at.select(F.col("h").alias("rep"), F.col("component").alias("cluster"), F.col("n_words").alias("n_shingles"), "first.doc", "first.start", "n_words"), "paragraph-members")
-    texts = paragraph_texts(docs, members.select("rep", "doc", "start", "n_words"))
-    links = verified_links(texts_of(texts), members.select("rep", "cluster", "n_shingles"), percent, size, cluster_sets, cluster_members)
+    members = materialize(at.select(F.col("h").alias("rep"), F.col("component").alias("cluster"), F.col("first.n_words").alias("n_shingles"), "first.*"), "paragraph-members")
+    with_texts = paragraph_texts(docs, members.select("rep", "doc", "start", "n_words"))
+    links = verified_links(with_texts, members.select("rep", "cluster", "n_shingles"), percent, size, cluster_sets, cluster_members, pair_joiner(percent, size))
     comps = materialize(connected_components(links), "paragraph-components")
 
-    labels = classes.join(comps, classes["h"] == comps["node"], "left").select("h", F.coalesce("component", "h").alias("label"), "first", "n")
+    labels = classes.join(comps, classes["h"] == comps["node"], "left").select("h", F.coalesce("component", "h").alias("label"), "first", "last", "n")
     labels = materialize(labels, "paragraph-labels")
-    groups = materialize(labels.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("copies")).where("copies > 1"), "paragraph-groups")
+    groups = labels.groupBy("label").agg(F.min("first").alias("keep"), F.max("last").alias("last"), F.sum("n").alias("copies"))
+    # blocks of one document that overlap are alike, but no copies
+    groups = materialize(groups.where("last.doc <> keep.doc OR last.start >= keep.start + keep.n_words").select("label", "keep", "copies"), "paragraph-groups")
     marked = materialize(labels.select("h", "label").join(groups, "label").select("h", "keep", "copies"), "repeated-classes")
     out = found.join(marked, "h")
-    place = F.struct("doc", "start")
-    return out.select(F.col("doc").alias("doc_id"), "start", "n_words", F.col("keep.doc").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "copies", (place != F.col("keep")).alias("removed"))
+    apart = (F.col("doc") != F.col("keep.doc")) | (F.col("start") >= F.col("keep.start") + F.col("keep.n_words"))
+    return out.select(F.col("doc").alias("doc_id"), "start", "n_words", F.col("keep.doc").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "copies", apart.alias("removed"))
 
 
 def passages(docs: DataFrame, **how) -> DataFrame:

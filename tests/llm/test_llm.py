@@ -239,6 +239,28 @@ def test_jaccard_join(docs, empty, limits):
     assert kept == {k for k in sets if want[k] == k}
 
 
+@pytest.mark.parametrize("n_nodes", [3, 40, 5000])
+def test_components(spark, n_nodes):
+    from lumendoc.llm.components import connected_components
+
+    rnd = random.Random(n_nodes)
+    links = [(rnd.randrange(n_nodes), rnd.randrange(n_nodes)) for _ in range(n_nodes * 3 // 5)]
+    links += [(10**6 + k, 10**6 + k + 1) for k in range(300)] + [(2 * 10**6 + rnd.randrange(500), 2 * 10**6) for _ in range(500)]  # a path and a hub
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    want = {x: find(x) for pair in links if pair[0] != pair[1] for x in pair}
+    got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("percent", [70, 90])
 def test_jaccard_join_finds_chains(spark, percent):
     rnd = random.Random(percent)
