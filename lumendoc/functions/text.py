@@ -47,7 +47,7 @@ def escape_attribute(c: Column) -> Column:
     return F.replace(escape(c), F.lit('"'), F.lit("&quot;"))
 
 
-HEADING = r"(?U)\A(#+)\s+(.+)\z"
+HEADING = rf"(?Us)\A(#+){WS}+(.+)\z"
 
 
 def heading_depth(line: Column) -> Column:

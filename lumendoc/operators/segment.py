@@ -182,9 +182,9 @@ def render_figures(images: Column) -> Column:
 
 
 def page(lines: Column, title: Column) -> Column:
-    """The whole page; the title is put in as it is."""
+    """The whole page; the title is escaped as text is."""
     lit = lambda xs: F.array(*map(F.lit, xs))
-    return F.array_join(F.concat(lit(HEAD), F.array(F.concat(F.lit("  <title>"), title, F.lit("</title>"))), lit(STYLE), lit(MAIN), lines, lit(TAIL)), "\n")
+    return F.array_join(F.concat(lit(HEAD), F.array(F.concat(F.lit("  <title>"), X.escape(title), F.lit("</title>"))), lit(STYLE), lit(MAIN), lines, lit(TAIL)), "\n")
 
 
 def build_html(docs: DataFrame, text: str = "text", title: Column | None = None, images: str | None = None) -> DataFrame:
