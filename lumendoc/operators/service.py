@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +15,27 @@ DAILY_LIMIT = 20
 def daily_quota(events: DataFrame, ts: str = "ts", tie: str = "event_id", limit: int = DAILY_LIMIT, per: tuple[str, ...] = ()) -> DataFrame:
     """Append day, allowed and count_after: the first ``limit`` calls of a day pass.
 
-    A window function with a rank below a constant keeps ``limit`` rows a
-    partition before the shuffle; the others' rows follow by an anti-join on
-    the keys, so a day of any size is not sorted in one task.
+    Calls are summed to one row a (day, time, tie) and the first ``limit`` of
+    those found, of which Spark keeps ``limit`` a partition before the shuffle,
+    so a day of any size is not sorted in one task.  Equal calls are numbered
+    among themselves (only where they repeat), and every call is one row of the
+    result.  Null times have a day of their own, null.
     """
     day = events.withColumn("day", F.to_date(ts))
+    keys = ["day", *per, ts, tie]
+    before = Window.partitionBy("day", *per).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
     order = Window.partitionBy("day", *per).orderBy(ts, tie)
-    first = day.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
-    allowed = first.select("day", *per, ts, tie, F.lit(True).alias("allowed"), F.col("nth").cast("int").alias("count_after"))
-    at = day.join(allowed, ["day", *per, ts, tie], "left")
-    return at.withColumn("allowed", F.coalesce("allowed", F.lit(False))).withColumn("count_after", F.coalesce("count_after", F.lit(limit)))
+    calls = day.groupBy(*keys).agg(F.count(F.lit(1)).alias("quota n"))
+    first = calls.withColumn("quota nth", F.row_number().over(order)).where(F.col("quota nth") <= limit)
+    first = first.withColumn("quota before", F.coalesce(F.sum("quota n").over(before), F.lit(0))).where(F.col("quota before") < limit)
+    first = first.select(*(F.col(k).alias(f"quota {k}") for k in keys), "quota n", "quota before")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"quota {k}")) for k in keys))
+    at = day.join(first, same, "left")
+    once = at.where(F.coalesce(F.col("quota n"), F.lit(1)) == 1).withColumn("quota own", F.lit(1))
+    more = at.where(F.col("quota n") > 1).withColumn("quota own", F.row_number().over(Window.partitionBy(*(f"quota {k}" for k in keys)).orderBy(F.lit(1))))
+    nth = F.col("quota before") + F.col("quota own")
+    out = once.unionByName(more).withColumn("allowed", F.coalesce(nth <= limit, F.lit(False))).withColumn("count_after", F.least(F.coalesce(nth, F.lit(limit)), F.lit(limit)).cast("int"))
+    return out.select(*day.columns, "allowed", "count_after")
 
 
 def stage_index(stage: Column) -> Column:
