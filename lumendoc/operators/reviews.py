@@ -79,9 +79,10 @@ def normalize(raw: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
 
     An issue keeps its place in the answer; those that name no valid id, and
     items that are no objects, are dropped.  A reviewer whose answer holds no
-    JSON has failed.
+    JSON, or an issue with a valid id and a confidence that is no number, has
+    failed, with all its issues.
     """
-    got = raw.withColumn("items", _items("text"))
+    got = raw.withColumn("items", answer_items(F.col("text"), F.col("valid_ids")))
     rows = got.where("items IS NOT NULL").select(*keys, "reviewer", "valid_ids", F.posexplode("items").alias("issue_pos", "item"))
     i = F.from_json("item", model.RAW_ISSUE)
     rows = rows.where("item IS NOT NULL").withColumn("i", i)
@@ -103,9 +104,24 @@ def normalize(raw: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
     return out.where(F.array_contains("valid_ids", F.col("element_id"))).drop("valid_ids"), got.where("items IS NULL").select(*keys, "reviewer")
 
 
+def answer_items(text: Column, valid_ids: Column) -> Column:
+    """An answer's issues as JSON texts; null if the reviewer failed (see ``normalize``)."""
+    items = _items(text)
+
+    def bad(item: Column) -> Column:
+        i = F.from_json(item, model.RAW_ISSUE)
+        ident = F.coalesce(*(F.nullif(i[n], F.lit("")) for n in ("element_id", "elementId", "id")))
+        said = F.lower(F.coalesce(i["confidence"], F.lit("")))
+        number = F.trim(said).rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$") | said.isin("", "false", "true", "null", "[]", "{}", "nan", "inf", "infinity")
+        return F.coalesce(F.array_contains(valid_ids, ident) & ~number, F.lit(False))
+
+    return F.when(~F.exists(items, bad), items)
+
+
 def health(raw: DataFrame, *keys: str) -> DataFrame:
     """Per keys: reviewers' status, and whether all of them failed."""
-    got = raw.withColumn("ok", _items("text").isNotNull())
+    valid = F.col("valid_ids") if "valid_ids" in raw.columns else F.array().cast("array<string>")
+    got = raw.withColumn("ok", answer_items(F.col("text"), valid).isNotNull())
     status = F.map_from_entries(F.collect_list(F.struct("reviewer", F.when(F.col("ok"), "success").otherwise("failed"))))
     return got.groupBy(*keys).agg(status.alias("reviewer_status"), (~F.bool_or("ok")).alias("all_failed"))
 
