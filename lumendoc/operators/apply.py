@@ -30,15 +30,15 @@ def replace(el: dom.Node, p: dict) -> str:
     """An attribute if one is named, else the text before the first child element."""
     if p.get("target_attribute"):
         _set(el, p)
-        return f'replaced attribute {p["target_attribute"]}="{p["new_value"]}"'
+        return f'now {p["target_attribute"]}="{p["new_value"]}"'
     lead = next((k for k, x in enumerate(el.children) if isinstance(x, dom.Node)), len(el.children))
     el.children[:lead] = [p["new_value"] or ""]
-    return f'replaced text content with "{p["new_value"]}"'
+    return f'text now "{p["new_value"]}"'
 
 
 def _parent(el: dom.Node, what: str) -> dom.Node:
     if el.parent is None or el.parent.parent is None:
-        raise PatchError(f"cannot {what} the root element")
+        raise PatchError(f"the root element has no place to {what}")
     return el.parent
 
 
@@ -52,9 +52,9 @@ def wrap(el: dom.Node, p: dict) -> str:
 
 
 def insert(el: dom.Node, p: dict) -> str:
-    parent, side = _parent(el, "insert a sibling of"), p.get("position") or "after"
+    parent, side = _parent(el, "insert beside"), p.get("position") or "after"
     if side not in ("before", "after"):
-        raise PatchError(f"invalid insert position: {side!r}")
+        raise PatchError(f"{side!r} is neither before nor after")
     new = next((x for x in dom.parse(p["new_element"] or "").children if isinstance(x, dom.Node)), None)
     if new is None:
         raise PatchError("nothing to insert")
@@ -79,15 +79,15 @@ def apply_all(html: str | None, patches) -> dict:
         try:
             el = by_id.get(p["element_id"])
             if el is None:
-                raise PatchError(f"no element with data-ir-id={p['element_id']!r}")
+                raise PatchError(f"the page has no {p['element_id']!r}")
             if p["operation"] not in OPERATIONS:
-                raise PatchError(f"unknown operation {p['operation']!r}")
+                raise PatchError(f"{p['operation']!r} is not among the operations")
             entry["detail"] = OPERATIONS[p["operation"]](el, p)
             if p["operation"] == "insert":
                 by_id = dom.index(top)
         except (PatchError, AttributeError, TypeError) as e:
             entry |= {"status": "failed", "error": str(e)}
-            return {"html": html, "ok": False, "error": f"patch {k} failed ({e}); rolled back", "log": log}
+            return {"html": html, "ok": False, "error": f"patch {k}: {e}; the page stays as it was", "log": log}
     at = html.lower().find("<!doctype")
     root = dom.root_of(top)
     out = (html[:at] if at >= 0 else "") + DOCTYPE + "\n" + (root.html() if root else "")

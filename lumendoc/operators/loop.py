@@ -28,8 +28,8 @@ THRESHOLD = 95.0
 ReviewsProvider = Callable[[int, DataFrame], DataFrame]
 
 _SYNTH = {
-    1: ("table", "aria-label", "Data table has no accessible name.", 'Add aria-label="{}" to the table.'),
-    2: ("ul", "role", "List has no explicit list role for assistive technology.", 'Add role="list" to the list.'),
+    1: ("table", "aria-label", "This table has no name that is read out.", 'Set aria-label="{}" on it.'),
+    2: ("ul", "role", "This list does not state its role.", 'Set role="list" on it.'),
 }
 SYNTH_REVIEWERS = ("olmo", "gemini", "gpt")
 
@@ -111,14 +111,14 @@ def _round(turn: int, active: DataFrame, provider: ReviewsProvider, alt: judge.A
         "doc_id", F.when(F.col("status") == "accepted", F.col("patched")).otherwise(F.col("html")).alias("html"), "status", stop.alias("stop"), F.col("n").alias("patches_applied"),
         F.coalesce("n_rejected", F.lit(0)).cast("long").alias("rejected"), "s.score", "s.violations", "s.passes", "s.critical_serious", "gate_passed", F.col("gate_failed").alias("gate_failed_checks"), "gate_checks",
         F.when(F.col("status") == "axe_regression_reverted", F.concat(F.col("violations").cast("string"), F.lit(" -> "), F.col("s.violations").cast("string"), F.lit(" violations"))).alias("regression"),
-        F.when(F.col("status") == "applicator_rollback", "Patch application failed. Check logs for details.").alias("error"), "judge_audit",
+        F.when(F.col("status") == "applicator_rollback", "No patch of this round was applied; the log names the first that failed.").alias("error"), "judge_audit",
     )
     off = told.where("reviews IS NULL OR coalesce(failed, false)")
     failed = F.coalesce(F.col("failed"), F.lit(False))
     blank = [F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns[4:-2]]
     gone = off.select(
         "doc_id", "html", F.when(failed, "reviewers_failed").alias("status"), F.when(failed, "reviewers_failed").otherwise("no_more_reviews").alias("stop"), *blank,
-        F.when(failed, "Peer reviewers failed. Check logs for details.").alias("error"), F.lit(None).cast(out.schema["judge_audit"].dataType).alias("judge_audit"),
+        F.when(failed, "No reviewer gave a readable answer.").alias("error"), F.lit(None).cast(out.schema["judge_audit"].dataType).alias("judge_audit"),
     )
     return materialize(out.unionByName(gone).withColumn("round", F.lit(turn)), "loop-round")
 
