@@ -2,7 +2,8 @@
 
 Intermediate tables are written as Parquet below the folder that the session
 names in ``spark.checkpoint.dir``, which driver and executors share.  Only when
-the session names none (local tests) is a temporary folder made and set.
+the session names none and its master is local (tests) is a temporary folder
+made and set; a cluster's session must name one.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ def workdir(spark: SparkSession) -> str:
     folder = spark.sparkContext._jsc.sc().getCheckpointDir()
     if folder.isDefined():
         return folder.get().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="lumendoc-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
