@@ -56,6 +56,8 @@ SIZE, PERCENT = 5, 80
 RECALL, MOST_BANDS, BLOCK_BANDS = 0.99, 10, 4
 #: Of clusters of so many paragraphs all pairs are looked at.
 SMALL_CLUSTER = 16
+#: Rows of a plan (some 50 bytes each) that are broadcast.
+FEW_ROWS = 1 << 17
 #: Text bytes that are cut into paragraphs at once.
 GROUP_BYTES = 2 << 20
 
@@ -232,8 +234,9 @@ def places(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
 def paragraph_texts(docs: DataFrame, first: DataFrame):
     """A function that adds the texts to a plan's rows (by rep, a class); first: one place a class (rep, doc, start, n_words).
 
-    The documents are found by sort-merge at any size, as most of them hold a
-    paragraph that collides with another.
+    A plan of at most ``FEW_ROWS`` rows, as of large clusters' blocks, is
+    broadcast; for more, documents are found by sort-merge, as most of them
+    then hold a paragraph that collides with another.
     """
     plan_type = "rep long, cluster long, bundle long, known long"
 
@@ -259,9 +262,12 @@ def paragraph_texts(docs: DataFrame, first: DataFrame):
 
     def add(plan: DataFrame) -> DataFrame:
         placed = plan.select("rep", "cluster", F.col("bundle").cast("long").alias("bundle"), "known").join(first, "rep")
-        want = placed.groupBy("doc").agg(F.collect_list(F.struct("rep", "cluster", "bundle", "known", "start", "n_words")).alias("want"))
+        want = placed.groupBy("doc").agg(F.collect_list(F.struct("rep", "cluster", "bundle", "known", "start", "n_words")).alias("want"), F.count(F.lit(1)).alias("n"))
         want = materialize(want, "wanted-paragraphs")
-        return _texts(docs).hint("merge").join(want, "doc").select("text", "want").mapInArrow(run, f"{plan_type}, text string")
+        few = want.agg(F.sum("n")).first()[0] or 0
+        want = want.select("doc", "want")
+        at = _texts(docs).join(F.broadcast(want), "doc") if few <= FEW_ROWS else _texts(docs).hint("merge").join(want, "doc")
+        return at.select("text", "want").mapInArrow(run, f"{plan_type}, text string")
 
     return add
 
