@@ -335,3 +335,36 @@ def test_word_hash_is_of_the_bytes():
     h, at = tokens.word_hashes(pa.array(["Ab aB　", None, "ab"]))
     assert at.tolist() == [0, 2, 2, 3] and h[0] == h[2] and h[1] != h[0]
     assert hashlib.sha256(h.tobytes()).hexdigest() == hashlib.sha256(tokens.word_hashes(pa.array(["AB ab　 ab"]))[0].tobytes()).hexdigest()
+
+
+def test_index_is_opened_again(spark, tmp_path):
+    folder = f"file://{tmp_path}/index"
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    first = exact_dedup.DigestIndex(spark, folder, buckets=4)
+    assert first.add(docs).where("kept").count() == 40
+    first.close()
+    again = exact_dedup.DigestIndex(spark.newSession(), folder)  # whatever its shuffle partitions are
+    assert again.buckets == 4
+    assert again.add(docs.withColumn("doc_id", F.col("doc_id") + 100)).where("kept").count() == 0 and again.read().count() == 40
+    again.compact()
+    assert again.read().count() == 40 and again.add(docs).where("kept").count() == 0  # known texts keep the rows that brought them
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, folder, buckets=7)
+    again.close()
+
+
+def test_rows_under_one_id_are_kept_apart(spark, empty):
+    import corpus_pipeline
+
+    rows = [(1, "good"), (1, "dup"), (9, "dup"), (9, "dup"), (None, "dup"), (None, "alone"), (None, "alone"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    left = corpus_pipeline.drop_copies(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=str) == sorted([(1, "good"), (9, "dup"), (None, "alone"), (5, "")], key=str)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (1, "other words entirely"), (2, " ".join(words)), (None, " ".join(words[:-1])), (None, "a text without an id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    left = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], len(r["text"])) for r in left), key=str) == sorted([(1, 20), (2, len(" ".join(words))), (None, 20)], key=str)
+    assert corpus_pipeline.drop_bad(spark, docs, "").columns == docs.columns
+    for stage in (corpus_pipeline.drop_bad, corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        assert stage(spark, empty, "").count() == 0
