@@ -74,3 +74,10 @@ def test_entry_points(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and {"element_ids", "remediation_loop"} <= set(e.queries())
+
+
+def test_quota_of_repeated_events(spark):
+    rows = [(1, "2024-01-01 00:00:00")] * 3 + [(2, "2024-01-01 00:00:01"), (3, "2024-01-02 00:00:00"), (None, None), (None, None)]
+    events = spark.createDataFrame(rows, "event_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    got = sorted(((r["event_id"], r["allowed"], r["count_after"]) for r in service.daily_quota(events, limit=2).collect()), key=str)
+    assert got == sorted([(1, True, 1), (1, True, 2), (1, False, 2), (2, False, 2), (3, True, 1), (None, True, 1), (None, True, 2)], key=str)
