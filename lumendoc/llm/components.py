@@ -31,8 +31,11 @@ def _part(node: np.ndarray, parts: int) -> np.ndarray:
     return (mix(node.view(U)) % U(parts)).astype(np.int64)
 
 
-def _passer(parts: int):
-    """Of one part's links, those that its nodes keep and those that other parts get."""
+def _passer(parts: int, whole: bool):
+    """Of one part's links, those that its nodes keep and those that other parts get.
+
+    whole: all links of the part's nodes are here; else links to pass on wait for the next round, which fetches theirs.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
         own = rows.column("part")[0].as_py()
@@ -47,7 +50,7 @@ def _passer(parts: int):
             if not more.any():
                 break
             new = np.unique(np.stack([v[more], least[more]], 1), axis=0)
-            here = _part(np.ascontiguousarray(new[:, 0]), parts) == own
+            here = (_part(np.ascontiguousarray(new[:, 0]), parts) == own) & whole
             away.append(new[~here])
             u, v = np.concatenate([u[first], new[here, 0]]), np.concatenate([v[first], new[here, 1]])
         u, v = u[first], v[first]
@@ -86,7 +89,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         if kept is not None:
             touched = few(new.select(F.col("u").alias("t")).distinct(), n)
             work = new.unionByName(kept.join(touched, kept["u"] == touched["t"]).groupBy("u").agg(F.min("v").alias("v")))
-        passed = work.mapInArrow(_dealer(parts), "part int, u long, v long").groupBy("part").applyInArrow(_passer(parts), "u long, v long, away boolean")
+        passed = work.mapInArrow(_dealer(parts), "part int, u long, v long").groupBy("part").applyInArrow(_passer(parts, kept is None), "u long, v long, away boolean")
         passed = materialize(passed, "passed-links")
         mine, new = passed.where("NOT away").select("u", "v"), passed.where("away").select("u", "v")
         kept = mine if kept is None else kept.unionByName(mine)
