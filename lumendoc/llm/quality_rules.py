@@ -4,10 +4,11 @@ Base rules count words, symbols, repeated lines and repeated 5-word windows.
 The method then compares two histograms of a document with its language's
 reference by the Jensen-Shannon distance (base 2, 0 to 1): character classes,
 and common words.  References are the pooled counts of all documents of a
-language, taken over the whole table; a language with less than one in
-``REFERENCE_SHARE`` of all characters, or none, is held against the pool of
-all documents (so there are at most ``REFERENCE_SHARE`` references, and their
-table may be broadcast).  A document is judged only from ``MIN_CHARS``
+language, taken over the whole table, for every language however rare.  Their
+table is broadcast up to ``FEW_BYTES``, beyond that joined by sort-merge (which
+adaptive execution splits where one language has most rows).  A document
+without a language is held against the nearest reference of each histogram,
+``BLOCK`` references a pass.  A document is judged only from ``MIN_CHARS``
 characters (character classes) or ``MIN_WORDS`` words (common words) on.
 
 Everything is built-in functions.  Windows are counted inside the row: the
@@ -16,7 +17,8 @@ one sorts them to find the places.  No row leaves its partition but for the
 references' sums.
 
 Cases: null text has no words and fails the base rule, as an empty one does;
-null ``lang`` is held against the pool; an empty table gives an empty result;
+null ``lang`` is held against the nearest reference, and where the table names
+no language at all, by the base rules alone; an empty table gives an empty result;
 ties and repeated rows are judged alike; columns beside ``doc_id``, ``text``
 and ``lang`` are ignored.
 """
@@ -24,6 +26,7 @@ and ``lang`` are ignored.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import batched
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +36,8 @@ from .common import SPACE, WORD, drop_keyed, keyed, let, materialize, table
 MIN_CHARS, MIN_WORDS = 200, 100
 #: Distances above these fail.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.3
-REFERENCE_SHARE = 1000
+#: References (some 300 bytes each and the language's name) that are broadcast, and those a pass compares.
+FEW_BYTES, BLOCK = 32 << 20, 64
 #: Frequent short words of English, German, French and Spanish.
 COMMON_WORDS = (
     "the", "of", "and", "to", "in", "is", "that", "for", "der", "die", "und", "den", "von", "zu", "das",
@@ -134,33 +138,46 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def references(found: DataFrame) -> DataFrame:
-    """Pooled histograms by language (null: of all documents), over the whole table."""
+    """Pooled histograms of every language, over the whole table."""
     n_c, n_w = len(CLASSES) + 1, len(COMMON_WORDS) + 1
-    sums = [F.sum(F.col("chars")[k]).alias(f"c{k}") for k in range(n_c)] + [F.sum(F.col("words")[k]).alias(f"w{k}") for k in range(n_w)]
-    each = found.groupBy("lang").agg(*sums)
-    pool = each.agg(*(F.sum(c).alias(c) for c in each.columns[1:])).withColumn("lang", F.lit(None).cast("string"))
-    row = lambda df: df.select("lang", F.array(*(f"c{k}" for k in range(n_c))).alias("ref_chars"), F.array(*(f"w{k}" for k in range(n_w))).alias("ref_words"))
-    size = reduce(lambda a, b: a + b, (F.col(f"c{k}") for k in range(n_c)))
-    total = pool.select(size.alias("n")).first()["n"] or 0
-    return row(each.where(F.col("lang").isNotNull() & (size * REFERENCE_SHARE >= F.lit(total)) & (size > 0))).unionByName(row(pool))
+    sums = lambda name, n: F.array(*(F.sum(F.col(name)[k]) for k in range(n))).alias(f"ref_{name}")
+    return found.where(F.col("lang").isNotNull()).groupBy("lang").agg(sums("chars", n_c), sums("words", n_w))
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def _distances(chars: Column, words: Column) -> tuple[Column, Column]:
+    """A document's distances from a reference's two histograms."""
+    n_w = len(COMMON_WORDS)
+    return (
+        js_distance(shares(F.col("chars")), shares(chars)),
+        js_distance(shares(with_rest(F.col("words"), n_w)), shares(with_rest(words, n_w))),
+    )
+
+
+def _nearest(found: DataFrame, refs: DataFrame, block: int) -> DataFrame:
+    """``found`` with the least of each distance over all references (null: there are none)."""
+    out = found.withColumn("char_distance", F.lit(None).cast("double")).withColumn("word_distance", F.lit(None).cast("double"))
+    for turn, rows in enumerate(batched(refs.toLocalIterator(), block)):
+        if turn:
+            out = materialize(out, "quality-nearest")
+        each = F.lit([[list(r["ref_chars"]), list(r["ref_words"])] for r in rows])
+        chars = F.array_min(F.transform(each, lambda q: _distances(q[0], q[1])[0]))
+        words = F.array_min(F.transform(each, lambda q: _distances(q[0], q[1])[1]))
+        out = out.withColumn("char_distance", F.least("char_distance", chars)).withColumn("word_distance", F.least("word_distance", words))
+    return out
+
+
+def judge(docs: DataFrame, *, few_bytes: int = FEW_BYTES, block: int = BLOCK) -> DataFrame:
     """Base columns, both distances and ``kept`` of every document."""
     found = materialize(features(docs), "quality-features")
     refs = materialize(references(found), "quality-references")
-    pool = refs.where(F.col("lang").isNull()).first()
-    at = found.join(F.broadcast(refs.where(F.col("lang").isNotNull())), "lang", "left")
-    whole = lambda name: F.array(*(F.lit(n or 0).cast("long") for n in pool[name]))
-    chars, words = F.coalesce("ref_chars", whole("ref_chars")), F.coalesce("ref_words", whole("ref_words"))
-    n_w = len(COMMON_WORDS)
-    out = at.select(
-        *(c for c in found.columns if c not in ("chars", "words")),
-        js_distance(shares(F.col("chars")), shares(chars)).alias("char_distance"),
-        js_distance(shares(with_rest(F.col("words"), n_w)), shares(with_rest(words, n_w))).alias("word_distance"),
-    )
+    n_bytes = refs.agg(F.sum(F.octet_length("lang") + 300)).first()[0] or 0
+    refs_at = F.broadcast(refs) if n_bytes <= few_bytes else refs.hint("merge")
+    char_distance, word_distance = _distances(F.col("ref_chars"), F.col("ref_words"))
+    named = found.where(F.col("lang").isNotNull()).join(refs_at, "lang").withColumn("char_distance", char_distance).withColumn("word_distance", word_distance)
+    columns = [*(c for c in found.columns if c not in ("chars", "words")), "char_distance", "word_distance"]
+    out = named.select(*columns).unionByName(_nearest(found.where(F.col("lang").isNull()), refs, block).select(*columns))
     failed = ((F.col("word_chars") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
-    return out.withColumn("kept", ~F.col("base_failed") & ~failed)
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(failed, F.lit(False)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -182,7 +199,7 @@ def _sql() -> str:
     known = " + ".join(f"c{k}" for k in range(len(keys)))
     cols = [f"c{k}" for k in range(n_c)] + [f"w{k}" for k in range(n_w + 1)]
     sums = ", ".join(f"sum({c}) AS {c}" for c in cols)
-    pick = ", ".join(f"coalesce(o.{c}, a.{c}) AS r{c}" for c in cols)
+    pick = ", ".join(f"o.{c} AS r{c}" for c in cols)
 
     def js(p: list[str], q: list[str]) -> str:
         half = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0 END"
@@ -206,18 +223,16 @@ f0 AS (SELECT doc_id, lang, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'
        ' ' || regexp_replace(lower(t), '\P{{L}}+', '  ', 'g') || ' ' AS p FROM d),
 f1 AS (SELECT *, {count}, len(regexp_extract_all(p, '\p{{L}}+')) AS w{n_w} FROM f0),
 f AS (SELECT * EXCLUDE (p), greatest(word_chars - ({known}), 0) AS c{n_c - 1}, {", ".join(f"l{k} // {len(w) + 2} AS w{k}" for k, w in enumerate(COMMON_WORDS))} FROM f1),
-each AS (SELECT lang, {sums} FROM f GROUP BY lang),
-a AS (SELECT {sums} FROM each),
-o AS (SELECT each.* FROM each, a WHERE each.lang IS NOT NULL AND {REFERENCE_SHARE} * ({" + ".join(f"each.c{k}" for k in range(n_c))}) >= {" + ".join(f"a.c{k}" for k in range(n_c))}),
-j AS (SELECT f.*, {pick} FROM f LEFT JOIN o USING (lang), a),
-s AS (SELECT doc_id, word_chars, {ds}, {rs} FROM j),
-v AS (SELECT doc_id, word_chars, {js(dc, rc)} AS cd, {js(dw, rw)} AS wdist FROM s),
+o AS (SELECT lang, {sums} FROM f WHERE lang IS NOT NULL GROUP BY lang),
+j AS (SELECT f.*, {pick} FROM f JOIN o ON f.lang = o.lang OR f.lang IS NULL),
+s AS (SELECT doc_id, {ds}, {rs} FROM j),
+v AS (SELECT doc_id, min({js(dc, rc)}) AS cd, min({js(dw, rw)}) AS wdist FROM s GROUP BY doc_id),
 b AS (SELECT wd.doc_id, len(w) AS n_words, coalesce(r, 0) AS n_repeat_words, len(l) - len(list_distinct(l)) AS n_dup_lines
       FROM wd LEFT JOIN rep USING (doc_id) JOIN li USING (doc_id)),
 z AS (SELECT b.doc_id, n_words, f.word_chars, f.c{keys.index("symbol")} AS n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, cd, wdist FROM b JOIN f USING (doc_id) JOIN v USING (doc_id))
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, cd, wdist FROM b JOIN f USING (doc_id) LEFT JOIN v USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT ((word_chars >= {MIN_CHARS} AND cd > {MAX_CHAR_DISTANCE}) OR (n_words >= {MIN_WORDS} AND wdist > {MAX_WORD_DISTANCE})) AS kept
+       NOT base_failed AND NOT coalesce((word_chars >= {MIN_CHARS} AND cd > {MAX_CHAR_DISTANCE}) OR (n_words >= {MIN_WORDS} AND wdist > {MAX_WORD_DISTANCE}), false) AS kept
 FROM z
 """
 

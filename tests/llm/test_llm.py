@@ -124,6 +124,25 @@ def test_divergence_rejects_other_distributions(spark):
     assert abs(p - 1) < 1e-12
 
 
+def test_every_language_has_a_reference(spark):
+    """A clean document of a rare language, or of none, stays whatever else the table holds; the plans agree."""
+    rnd = random.Random(3)
+    say = lambda words: " ".join(rnd.choice(words.split()) for _ in range(150))
+    english, german, other = "the of and to house garden river stone", "der die und den haus garten fluss stein", "kuca reka vrt kamen drvo most"
+    rows = [(k, say(english), "en") for k in range(60)] + [(60 + k, say(german), "de") for k in range(3)] + [(70, say(other), "rare"), (71, say(german), None), (72, say(english), None)]
+    rows += [(80, "$$$ 1234 " * 150, None), (81, None, None), (82, "", "empty")]
+    data = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text"))
+    out = quality_rules.judge(data)
+    against_sql(out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"), quality_rules.RULES_SQL, data)
+    got = by_id(out)
+    far = {k for k, r in got.items() if max(r["char_distance"], r["word_distance"]) > 0.3 and (r["n_words"] or 0) >= 100}
+    assert len(got) == len(rows) and far == {80}
+    other_plan = by_id(quality_rules.judge(data, few_bytes=0, block=1))
+    assert other_plan == got
+    nameless = quality_rules.judge(data.withColumn("lang", F.lit(None).cast("string")))
+    assert nameless.where("char_distance IS NOT NULL").count() == 0 and nameless.where("kept = base_failed").count() == 0
+
+
 def test_mixing(docs, empty):
     out = mixing.mix(docs)
     against_sql(out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken"), mixing.MIX_SQL, docs)
