@@ -239,12 +239,12 @@ def consensus_confidence(spark, d):
 
 @query()
 def fuzzy_dedup(spark, d):
-    """Groups by similar words where no attribute is named: each document's first words, as two reviewers tell them."""
-    w = _t(spark, d, "documents").select("doc_id", F.slice(F.split("text", r"\s+"), 1, 8).alias("w"))
-    say = lambda r, k, words: F.struct(F.lit(r).alias("reviewer"), F.lit(k).alias("reviewer_pos"), F.array_join(words, " ").alias("issue"))
-    rows = w.select("doc_id", F.explode(F.array(say("a", 0, F.col("w")), say("b", 1, F.reverse("w")), say("c", 2, F.slice("w", 1, 6)))).alias("s")).select("doc_id", "s.*")
+    """Groups by similar words where no attribute is named: each document's whole text as three reviewers tell it, the second backwards and the third in capitals."""
+    w = _t(spark, d, "documents").select("doc_id", F.split("text", r"\s+").alias("w"))
+    say = lambda r, k, words, text=lambda t: t: F.struct(F.lit(r).alias("reviewer"), F.lit(k).alias("reviewer_pos"), text(F.array_join(words, " ")).alias("issue"))
+    rows = w.select("doc_id", F.explode(F.array(say("a", 0, F.col("w")), say("b", 1, F.reverse("w")), say("c", 2, F.col("w"), F.upper))).alias("s")).select("doc_id", "s.*")
     full = rows.select("*", F.lit(0).alias("issue_pos"), F.lit("e").alias("element_id"), F.lit("1.3.1").alias("wcag_criterion"), F.lit("minor").alias("impact"), F.lit("rewrite").alias("suggested_fix"), F.lit(0.5).alias("confidence"), F.lit("x").alias("fix_type"), F.lit(False).alias("hallucinated"))
-    return reviews.consensus(full, "doc_id").select("doc_id", "issue", "n_reviewers", "confidence")
+    return reviews.consensus(full, "doc_id").select("doc_id", F.sha2("issue", 256).alias("issue_sha256"), "n_reviewers", "confidence")
 
 
 @query("""

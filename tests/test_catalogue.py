@@ -1,10 +1,14 @@
 """Every registered query of the engine against its SQL in DuckDB, on the smallest test tables."""
 
+import difflib
+import hashlib
 import os
+import re
 
 import duckdb
 import pytest
 
+from lumendoc.operators.reviews import FUZZY
 from lumendoc.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -36,3 +40,17 @@ def test_query(spark, con, name):
     want = con.sql(sql)
     assert sorted(want.columns) == sorted(got.columns)
     assert sorted(map(plain, got.select(*want.columns).collect()), key=str) == sorted(map(plain, want.fetchall()), key=str)
+
+
+def test_fuzzy_dedup_against_brute_force(spark, con):
+    """Every document's three issues, compared pair by pair in the reviewers' order."""
+    want = set()
+    for doc_id, text in con.sql("SELECT doc_id, text FROM documents").fetchall():
+        words = re.split(r"\s+", text, flags=re.ASCII)
+        groups = []
+        for issue in (" ".join(words), " ".join(words[::-1]), " ".join(words).upper()):
+            near = [g for g in groups if difflib.SequenceMatcher(None, g[0].lower(), issue.lower()).ratio() >= FUZZY]
+            near[0].append(issue) if near else groups.append([issue])
+        want |= {(doc_id, hashlib.sha256(g[0].encode()).hexdigest(), len(g)) for g in groups}
+    got = {(r["doc_id"], r["issue_sha256"], r["n_reviewers"]) for r in catalogue.QUERIES["fuzzy_dedup"](spark, DATA).collect()}
+    assert got == want
