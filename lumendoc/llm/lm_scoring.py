@@ -10,9 +10,10 @@ n-grams and sized by its own entries (``BITS`` bits an entry), so nothing has
 to be known beforehand and the filter grows with the corpus.
 
 Scores are log10 probabilities of the text and its end,
-``p(w | v) = (1 - WEIGHT) * p1(w) + WEIGHT * c(v, w) / c(v)``, with p1 the
+``p(w | v) = (1 - weight) * p1(w) + weight * c(v, w) / c(v)``, with p1 the
 add-0.1 estimate and all counts read from the filter.  Every pair of training
-is stored, those seen once too, which are most of them.  Workers get the filter
+is stored, those seen once too, which are most of them.  The weight is learned
+from all pairs of training (``pair_weight``).  Workers get the filter
 by broadcast, a slice of parts of at most ``SLICE_BYTES`` at a time: below that
 size one pass scores everything, above it each slice has a pass of its own over
 the pairs that fall in it, and the passes' sums are added.
@@ -48,9 +49,8 @@ from .tokens import U, join2, mix, row_groups, word_hashes
 END = U(0x5851F42D4C957F2D)
 RATIO = 1.5
 BITS, PROBES = 8, 4
-WEIGHT = 0.1
-#: The least count of a pair that is stored: all of them.
-MIN_PAIR = 1
+#: Bounds of the pairs' weight, so that neither words nor pairs ever go unheard.
+LEAST_WEIGHT, MOST_WEIGHT = 0.1, 0.9
 TOP = 1 << 18
 SLICE_BYTES = 80 << 20
 #: Text bytes a part of the filter is made from, on the average; most parts.
@@ -140,6 +140,17 @@ def make_bits(h: np.ndarray, counts: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def pair_weight(once: int, twice: int, distinct: int, total: int) -> float:
+    """The pairs' share of a probability, from how many distinct pairs there are, and how many stand once and twice.
+
+    Leaving one out, a pair's count is too high by ``once / (once + 2 * twice)``
+    on the average (Ney, Essen and Kneser 1994); what all distinct pairs give
+    up by that, as a share of all pairs, goes to the single words.
+    """
+    discount = once / (once + 2 * twice) if once else 0.0
+    return min(MOST_WEIGHT, max(LEAST_WEIGHT, 1 - discount * distinct / max(total, 1)))
+
+
 def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(h, kind="stable")
     h, n = h[order], n[order]
@@ -148,7 +159,7 @@ def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_ngrams(train: DataFrame, parts: int) -> DataFrame:
-    """Exact word counts (rows of h, c) and both filters' parts (rows of part, words, pairs), written once."""
+    """Exact word counts (rows of h, c) and both filters' parts (rows of part, words, pairs, and figures of its pairs), written once."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = -(-(np.arange(parts + 1, dtype=object) << 32) // parts)  # least upper half of each part
@@ -185,7 +196,8 @@ def count_ngrams(train: DataFrame, parts: int) -> DataFrame:
             n = np.frombuffer(b"".join(rows.column(ns).to_pylist()), np.uint32).astype(np.int64)
             out.append(_summed(h, n))
         (h, c), (ph, pc) = out
-        bits = [make_bits(h, c), make_bits(ph[pc >= MIN_PAIR], pc[pc >= MIN_PAIR])]
+        bits = [make_bits(h, c), make_bits(ph, pc)]
+        figures = [int((pc == 1).sum()), int((pc == 2).sum()), len(pc)]
         n = len(h)
         return pa.table(
             {
@@ -194,11 +206,12 @@ def count_ngrams(train: DataFrame, parts: int) -> DataFrame:
                 "part": pa.array([None] * n + [part], pa.int32()),
                 "words": pa.array([None] * n + bits[:1], pa.binary()),
                 "pairs": pa.array([None] * n + bits[1:], pa.binary()),
+                **{k: pa.array([None] * n + [v], pa.int64()) for k, v in zip(("once", "twice", "distinct"), figures)},
             }
         )
 
     packed = train.select("text").mapInArrow(partial, "part int, wh binary, wn binary, ph binary, pn binary")
-    return materialize(packed.groupBy("part").applyInArrow(merge, "h long, c long, part int, words binary, pairs binary"), "ngram-counts")
+    return materialize(packed.groupBy("part").applyInArrow(merge, "h long, c long, part int, words binary, pairs binary, once long, twice long, distinct long"), "ngram-counts")
 
 
 def _slices(sizes: list[tuple[int, int]], parts: int, most: int) -> list[tuple[int, int]]:
@@ -241,8 +254,9 @@ def score(docs: DataFrame, *, slice_bytes: int = SLICE_BYTES, top: int = TOP, pa
     frequent = words.where(F.col("c") >= least).toPandas()
     top_h, top_c = frequent["h"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64)
 
-    sizes = made.where(F.col("part").isNotNull()).select("part", F.octet_length("pairs")).collect()
-    cuts = _slices([tuple(r) for r in sizes], parts, slice_bytes)
+    sizes = made.where(F.col("part").isNotNull()).select("part", F.octet_length("pairs"), "once", "twice", "distinct").collect()
+    cuts = _slices([tuple(r)[:2] for r in sizes], parts, slice_bytes)
+    weight = pair_weight(*(sum(r[k] for r in sizes) for k in ("once", "twice", "distinct")), total)
 
     def fetch(name: str, a: int, b: int) -> tuple[bytes, np.ndarray]:
         """A slice's bits: as large as the slice's bound allows."""
@@ -258,7 +272,7 @@ def score(docs: DataFrame, *, slice_bytes: int = SLICE_BYTES, top: int = TOP, pa
     passes = None
     for turn, (a, b) in enumerate(cuts):
         pair_bits = spark.sparkContext.broadcast(fetch("pairs", a, b))
-        scored = numbered.mapInArrow(_scorer(word_bits, pair_bits, a, parts, total, share, turn == 0), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare_h array<long>, rare_n array<int>")
+        scored = numbered.mapInArrow(_scorer(word_bits, pair_bits, a, parts, total, share, weight, turn == 0), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare_h array<long>, rare_n array<int>")
         scored = materialize(scored, "lm-pass")
         pair_bits.destroy()
         passes = scored if passes is None else passes.unionByName(scored)
@@ -276,7 +290,7 @@ def score(docs: DataFrame, *, slice_bytes: int = SLICE_BYTES, top: int = TOP, pa
     )
 
 
-def _scorer(word_bits, pair_bits, first: int, parts: int, total: int, share: float, base_too: bool):
+def _scorer(word_bits, pair_bits, first: int, parts: int, total: int, share: float, weight: float, base_too: bool):
     """One pass: the sums over the tokens whose pair falls in this slice, and in the first pass the base.
 
     A word outside the broadcast counts as unseen (log10 of 0.1 is -1) and is
@@ -306,7 +320,7 @@ def _scorer(word_bits, pair_bits, first: int, parts: int, total: int, share: flo
                 before[0] = np.searchsorted(kinds, END)
             seen = np.maximum(counts[before[in_slice]], both)
             logs = np.zeros(len(tokens))
-            logs[in_slice] = np.log10((1 - WEIGHT) * single[which[in_slice]] + WEIGHT * np.divide(both, seen, out=np.zeros(len(both)), where=seen > 0))
+            logs[in_slice] = np.log10((1 - weight) * single[which[in_slice]] + weight * np.divide(both, seen, out=np.zeros(len(both)), where=seen > 0))
             sums = np.add.reduceat(logs, at[:-1]) if len(n) else logs
             nulls = pa.nulls(len(n), pa.list_(pa.int64()))
             out = [batch.column(batch.schema.get_field_index(c)) for c in ("row", "doc_id", "held_out")] + [pa.array(n)]

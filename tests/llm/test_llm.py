@@ -188,14 +188,16 @@ def test_lm_scoring(docs, empty):
     pairs = collections.Counter(p for k, ws in tokens.items() if not held[k] for p in zip([None, *ws], ws))
     n, v = sum(c.values()), len(c)
     single = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+    once, twice = (sum(x == k for x in pairs.values()) for k in (1, 2))
+    weight = 1 - once / (once + 2 * twice) * len(pairs) / n
+    assert lm_scoring.LEAST_WEIGHT < weight < lm_scoring.MOST_WEIGHT
     off = []
     for k, ws in tokens.items():
         r = got[k]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[k], len(ws), sum(c[w] > 0 for w in ws), n)
         assert math.isclose(r["base_score"], sum(math.log10(single(w)) for w in ws), rel_tol=1e-9)
         assert math.isclose(cut[k]["base_score"], r["base_score"], rel_tol=1e-9) and math.isclose(cut[k]["score"], r["score"], rel_tol=1e-9)
-        kept = lambda p: pairs[p] if pairs[p] >= lm_scoring.MIN_PAIR else 0
-        exact = sum(math.log10((1 - lm_scoring.WEIGHT) * single(w) + lm_scoring.WEIGHT * (kept((a, w)) / c[a] if c[a] else 0)) for a, w in zip([None, *ws], ws))
+        exact = sum(math.log10((1 - weight) * single(w) + weight * (pairs[a, w] / c[a] if c[a] else 0)) for a, w in zip([None, *ws], ws))
         off.append(abs(exact - r["score"]) / len(ws))
     assert sum(off) / len(off) < 0.1  # quantised counts and false positives, per token
     assert lm_scoring.score(empty).count() == 0
@@ -215,6 +217,12 @@ def test_lm_scoring_counts_pairs_seen_once(spark):
     assert abs(both[0]["score"] - want) < 5 < both[0]["score"] - both[1]["score"]
 
 
+def test_pair_weight_has_bounds():
+    assert lm_scoring.pair_weight(0, 0, 0, 0) == lm_scoring.MOST_WEIGHT == lm_scoring.pair_weight(0, 5, 5, 10)
+    assert lm_scoring.pair_weight(8, 0, 8, 8) == lm_scoring.LEAST_WEIGHT
+    assert lm_scoring.pair_weight(6, 1, 10, 30) == pytest.approx(1 - 0.75 * 10 / 30)
+
+
 def test_filter_reads_back_levels():
     import numpy as np
 
