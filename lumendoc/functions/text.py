@@ -93,7 +93,8 @@ def alt_or_name(alt: Column, name: Column) -> Column:
 
 def data_uri(name: Column, data: Column) -> Column:
     kind = F.when(F.endswith(name, F.lit(".png")), "image/png").otherwise("image/jpeg")
-    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64(data))
+    whole = F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))  # Spark may break its lines
+    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), whole)
 
 
 def context(page_text: Column) -> Column:

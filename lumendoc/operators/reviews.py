@@ -175,3 +175,8 @@ def consensus(issues: DataFrame, *keys: str) -> DataFrame:
         each("confidence").alias("reviewer_confidences"), each("hallucinated").alias("hallucinated_hints"), each("fix_type").alias("fix_type_hints"),
     )
     return out.withColumn("n_reviewers", F.size("reviewers")).withColumn("confidence", R.confidence(F.col("n_reviewers")))
+
+
+def group_total(groups: DataFrame, *keys: str) -> DataFrame:
+    """``all_reviewers``: the reviewers of all groups, each counted in every group it is in."""
+    return groups.groupBy(*keys).agg(F.sum("n_reviewers").cast("long").alias("all_reviewers"))

@@ -146,18 +146,34 @@ SELECT k AS doc_id, c NOT IN (1, 2, 3, 4) AS passed, CASE c WHEN 1 THEN 'text_co
        round(CASE WHEN c = 1 THEN 2.0 / w ELSE 1 END, 4)::double AS coverage FROM o""")
 def gate_verdict(spark, d):
     """The gate on pages that lose a part by a rule."""
+    out = gate.run_gate(gate_pairs(spark, d))
+    return out.select("doc_id", F.col("gate_passed").alias("passed"), F.array_join("gate_failed", ",").alias("failed"), F.col("gate_coverage").alias("coverage"))
+
+
+def gate_pairs(spark, d) -> DataFrame:
+    """Two pages an order; four fifths of the second ones lose a part."""
     k, c = F.col("o_orderkey"), F.col("o_orderkey") % 5
     words = lambda n: F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), n), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ")
     html = lambda h, p, table, img: F.concat(F.lit("<html><body><h1>Order "), k.cast("string"), F.lit("</h1>"), h, F.lit("<p>"), p, F.lit("</p>"), table, img, F.lit("</body></html>"))
     table, img, none, full = F.lit("<table><tr><td>x</td></tr></table>"), F.lit("<img alt='a'>"), F.lit(""), words(10 + k % 20)
-    pairs = _t(spark, d, "orders").select(
+    return _t(spark, d, "orders").select(
         k.alias("doc_id"),
         html(F.when(c == 4, "<h2></h2>").otherwise(""), full, table, img).alias("original"),
         html(F.when(c == 4, "<h3></h3>").otherwise(""), F.when(c == 1, "w1").otherwise(full), F.when(c == 2, none).otherwise(table), F.when(c == 3, none).otherwise(img)).alias("patched"),
     )
-    out = gate.run_gate(pairs)
-    measured = out.withColumn("o", elements.measure(F.col("original"))).withColumn("p", elements.measure(F.col("patched")))
-    return measured.select("doc_id", F.col("gate_passed").alias("passed"), F.array_join("gate_failed", ",").alias("failed"), gate.coverage(F.col("o.words"), F.col("p.words")).alias("coverage"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey % 5 AS c, (11 + o_orderkey % 20)::int AS w, CASE WHEN o_orderkey % 5 = 1 THEN 2 ELSE (11 + o_orderkey % 20)::int END AS p FROM orders)
+SELECT doc_id, printf('%d -> %d words (%.1f%%); threshold 95%%', w, p, 100.0::double * p / w) AS text_coverage,
+       '1 -> ' || CASE WHEN c = 3 THEN 0 ELSE 1 END || ' images (must not decrease)' AS image_count,
+       CASE WHEN c = 4 THEN 'before [1, 2] -> after [1, 3]; skips [1>3]' ELSE 'before [1] -> after [1]; skips none' END AS heading_order,
+       CASE WHEN c = 2 THEN '1 -> 0 tables (TABLE LOST)' ELSE '1 -> 1 tables' END AS table_structure FROM o""")
+def gate_details(spark, d):
+    """What the gate's checks say, each in its place."""
+    out = gate.run_gate(gate_pairs(spark, d))
+    names = ("text_coverage", "image_count", "heading_order", "table_structure")
+    return out.select("doc_id", *(F.get("gate_checks", k)["detail"].alias(name) for k, name in enumerate(names)))
 
 
 FIXES = (
@@ -367,3 +383,137 @@ def reviewer_health(spark, d):
 @query("SELECT s_suppkey::bigint AS id, k - 1 AS step, s AS stage FROM (SELECT s_suppkey, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM (SELECT s_suppkey, list_filter(%s, lambda x: NOT (x LIKE 'round%%' AND coalesce(try_cast(x[6:6] AS int), 0) > s_suppkey %% 4)) AS l FROM supplier))" % ("[" + ", ".join(f"'{s}'" for s in STAGES[1:]) + "]"))
 def stage_replay(spark, d):
     return service.replay(_t(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), (F.col("s_suppkey") % 4).cast("int").alias("max_rounds")))
+
+
+@query(f"SELECT doc_id, max(pos)::int AS pos, ir_id FROM (WITH {_LINES} SELECT * FROM e) GROUP BY doc_id, ir_id")
+def last_elements(spark, d):
+    """Of elements with one identifier the last counts."""
+    pages = segment.build_html(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "html")
+    return elements.last_of_each(elements.element_table(pages, "doc_id"), "doc_id").select("doc_id", "pos", "ir_id")
+
+
+_OPERATED = {
+    0: ("replace", "{p}new{q}<b>x</b></p>{u}", True, 'text now "new"'),
+    1: ("replace", '{p1}old <b>x</b></p>{u}', True, 'now title="new"'),
+    2: ("wrap", '<section class="c">{p}old <b>x</b></p></section>{u}', True, "wrapped in <section>"),
+    3: ("insert", "<hr>{p}old <b>x</b></p>{u}", True, "inserted before: <hr>"),
+    4: ("insert", "{p}old <b>x</b></p>{u}", False, None),
+    5: ("erase", "{p}old <b>x</b></p>{u}", False, None),
+}
+
+
+def _operated_sql() -> str:
+    parts = {"{p}": '<p data-ir-id="a">', "{p1}": '<p data-ir-id="a" title="new">', "{q}": "", "{u}": '<ul data-ir-id="b"></ul>'}
+
+    def body(s):
+        for k, v in parts.items():
+            s = s.replace(k, v)
+        return s
+
+    case = lambda values: "CASE s_suppkey % 6 " + " ".join(f"WHEN {k} THEN {v}" for k, v in values.items()) + " END"
+    text = lambda v: "NULL" if v is None else f"'{v}'"
+    page = case({k: text(body(v[1])) for k, v in _OPERATED.items()})
+    head = "CASE WHEN s_suppkey % 6 < 4 THEN '<!DOCTYPE html>' || chr(10) ELSE '' END"
+    return f"""
+SELECT s_suppkey::bigint AS doc_id, {case({k: str(v[2]).lower() for k, v in _OPERATED.items()})} AS ok, {case({k: text(v[3]) for k, v in _OPERATED.items()})} AS detail,
+       {head} || '<html><head></head><body><h1>S' || s_suppkey || '</h1>' || {page} || '</body></html>' AS html FROM supplier"""
+
+
+@query(_operated_sql())
+def patch_operations(spark, d):
+    """Replaced text, a replaced attribute, a wrapped and an inserted element, and two patches that fail, by supplier."""
+    k = F.col("s_suppkey") % 6
+    kind = _pick(k, [v[0] for v in _OPERATED.values()])
+    html = F.concat(F.lit("<html><head></head><body><h1>S"), F.col("s_suppkey").cast("string"), F.lit('</h1><p data-ir-id="a">old <b>x</b></p><ul data-ir-id="b"></ul></body></html>'))
+    patch = F.struct(
+        F.lit("a").alias("element_id"), kind.alias("operation"), F.when(k == 1, "title").alias("target_attribute"), F.lit("new").alias("new_value"),
+        F.when(k == 2, "section").alias("wrapper_tag"), F.when(k == 2, F.create_map(F.lit("class"), F.lit("c"))).alias("wrapper_attributes"),
+        F.when(k.isin(3, 4), "<hr>").alias("new_element"), F.when(k == 3, "before").when(k == 4, "inside").alias("position"),
+        F.lit("1.3.1").alias("wcag_criterion"), F.lit(0.9).alias("confidence"), F.lit(False).alias("llm_safe"), F.lit("r").alias("reasoning"),
+    )
+    out = _t(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"), apply.apply_patches(html, F.array(patch).cast(model.PATCHES)).alias("a"))
+    return out.select("doc_id", F.col("a.ok").alias("ok"), F.get("a.log", 0)["detail"].alias("detail"), F.col("a.html").alias("html"))
+
+
+def _renaming(turn: int, pages: DataFrame):
+    """Reviews that name a page's first element anew each round; names of every fifth page make it worse."""
+    value = F.when(F.col("doc_id") % 5 == 4, "worse").otherwise(f"round {turn}")
+    issue = F.struct(
+        F.lit("i").alias("issue_id"), F.lit("1.3.1").alias("wcag_criterion"), F.get(elements.valid_ids(F.col("html")), 0).alias("element_id"), F.lit("It has another name.").alias("issue"),
+        F.lit("minor").alias("impact"), F.lit(0.5).alias("confidence"), F.concat(F.lit('Set aria-label="'), value, F.lit('"')).alias("suggested_fix"), F.lit("deterministic").alias("fix_type"), F.lit(False).alias("hallucinated"),
+    )
+    return pages.select("doc_id", F.create_map(F.lit("gpt"), F.array(issue)).cast(model.REVIEWS).alias("renamed"))
+
+
+def _varied_reviews(turn: int, pages: DataFrame) -> DataFrame:
+    """By the id's remainder: no reviews, none readable, the pages' own lacks, and two kinds of renaming."""
+    k = F.col("doc_id") % 5
+    at = loop.synth_provider(turn, pages).join(_renaming(turn, pages), "doc_id")
+    return at.select("doc_id", F.when(k == 0, F.lit(None)).when(k >= 3, F.col("renamed")).otherwise(F.col("reviews").cast(model.REVIEWS)).alias("reviews"), (k == 1).alias("failed"))
+
+
+def _strict_scorer(html):
+    """The offline scorer, to which the name "worse" is two violations more."""
+    s = score.offline_scorer(html)
+    more = F.array(*(F.struct(F.lit(x).alias("id"), F.lit("serious").alias("impact"), F.lit(1).alias("nodes")) for x in ("name-1", "name-2")))
+    rules = F.when(html.contains('aria-label="worse"'), F.concat(s["rules"], more)).otherwise(s["rules"])
+    return F.struct(rules.alias("rules"), s["passes"].alias("passes"))
+
+
+@query("""
+SELECT s_suppkey::bigint AS doc_id, ['no_more_reviews', 'reviewers_failed', 'converged', 'max_rounds_reached', 'axe_regression'][(s_suppkey % 5 + 1)::int] AS stopped_reason,
+       [0, 0, 3, 3, 0][(s_suppkey % 5 + 1)::int] AS rounds_accepted, s_suppkey % 5 NOT IN (2, 3) AS unchanged, s_suppkey % 5 = 2 AS table_named,
+       ['', 'reviewers_failed', 'accepted,accepted,accepted', 'accepted,accepted,accepted', 'axe_regression_reverted'][(s_suppkey % 5 + 1)::int] AS statuses FROM supplier""")
+def stop_reasons(spark, d):
+    """The loop over pages whose reviews differ: it stops for five reasons, and takes back what makes a page worse."""
+    pages = supplier_pages(spark, d)
+    runs, rounds = loop.run_loop(pages, _varied_reviews, scorer=_strict_scorer)
+    turns = rounds.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("round", "status"))).alias("r"))
+    at = runs.join(pages, "doc_id").join(turns, "doc_id", "left")
+    statuses = F.coalesce(F.array_join(F.transform("r", lambda x: x["status"]), ","), F.lit(""))
+    return at.select("doc_id", "stopped_reason", "rounds_accepted", (F.col("final_html") == F.col("html")).alias("unchanged"), F.col("final_html").contains('aria-label="Prices"').alias("table_named"), statuses.alias("statuses"))
+
+
+_SAID = ("The data table has no caption or header cells", "The data table has no caption or header cell", "Link purpose cannot be told out of context")
+
+
+@query(f"""
+WITH g AS (SELECT * FROM (VALUES (0, '{_SAID[0]}', 'a,b', 0.8, '0.1,0.2', 'x,y'), (1, '{_SAID[2]}', 'c', 0.6, '0.3', 'z')) v(nth, issue, reviewers, confidence, each, hints))
+SELECT s_suppkey::bigint AS doc_id, s_suppkey || ': ' || issue AS issue, reviewers, confidence::double AS confidence, each AS reviewer_confidences, hints, 3::bigint AS all_reviewers FROM supplier, g""")
+def text_consensus(spark, d):
+    """Two reviewers who say the same in other words, and a third; the hints keep the reviewers' order."""
+    say = lambda r, k: F.struct(F.lit(r).alias("reviewer"), F.lit(k).alias("reviewer_pos"), F.concat(F.col("s_suppkey").cast("string"), F.lit(": " + _SAID[k])).alias("issue"), F.lit((k + 1) / 10).alias("confidence"), F.lit("xyz"[k]).alias("fix_type"))
+    rows = _t(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"), F.explode(F.array(*(say(r, k) for k, r in enumerate("abc")))).alias("s")).select("doc_id", "s.*")
+    full = rows.select("*", F.lit(0).alias("issue_pos"), F.lit("e").alias("element_id"), F.lit("1.3.1").alias("wcag_criterion"), F.lit("minor").alias("impact"), F.lit("rewrite").alias("suggested_fix"), F.lit(False).alias("hallucinated"))
+    groups = reviews.consensus(full, "doc_id")
+    total = reviews.group_total(groups, "doc_id")
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return groups.join(total, "doc_id").select("doc_id", "issue", joined("reviewers").alias("reviewers"), "confidence", joined("reviewer_confidences").alias("reviewer_confidences"), joined("fix_type_hints").alias("hints"), "all_reviewers")
+
+
+@query("""
+SELECT s_suppkey::bigint AS doc_id, CASE WHEN s_suppkey % 4 = 2 THEN 'ALREADY_SATISFIED' ELSE 'DEFERRED_LLM' END AS status, s_suppkey % 4 = 2 AS described FROM supplier""")
+def satisfied_alt(spark, d):
+    """Images with no text, blanks, enough and too little of it: only enough needs no model."""
+    s = _t(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"))
+    groups = s.select("doc_id", F.lit("e").alias("element_id"), F.lit("1.1.1").alias("wcag_criterion"), F.lit("The image says nothing").alias("issue"), F.lit('alt="x"').alias("suggested_fix"), F.array(F.lit("gpt")).alias("reviewers"), F.lit(1).alias("n_reviewers"), F.lit(0.6).alias("confidence"))
+    alt = _pick(F.col("doc_id") % 4, (None, " " * 40, " " + "a" * R.ENOUGH_ALT + " ", "  " + "a" * (R.ENOUGH_ALT - 1) + "  "))
+    index = s.select("doc_id", F.lit("e").alias("ir_id"), F.lit("img").alias("tag"), alt.alias("alt"), F.lit(True).alias("empty"), F.create_map().cast("map<string,string>").alias("attrs"))
+    out = judge.decide(judge.classify(groups, index, "doc_id"))
+    return out.select("doc_id", "status", (F.col("status_reason") == "the image is described already").alias("described"))
+
+
+@query(f"SELECT doc_id, sha256(text[1:{X.CLIP_CHARS}]) AS clip, sha256('data:image/' || CASE WHEN doc_id % 2 = 0 THEN 'png' ELSE 'jpeg' END || ';base64,' || base64(encode(text))) AS uri, CASE WHEN doc_id % 3 = 0 THEN 'file' ELSE lang END AS alt FROM documents")
+def model_inputs(spark, d):
+    """What models and pages are given: clipped pages, images as URIs, alternative texts or names."""
+    name = F.when(F.col("doc_id") % 2 == 0, "a.png").otherwise("a.jpg")
+    alt = X.alt_or_name(F.when(F.col("doc_id") % 3 > 0, F.col("lang")).otherwise(""), F.lit("file"))
+    uri = X.data_uri(name, F.encode("text", "UTF-8"))
+    return _t(spark, d, "documents").select("doc_id", F.sha2(X.clip(F.col("text")), 256).alias("clip"), F.sha2(uri, 256).alias("uri"), alt.alias("alt"))
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber AS line, round_even(least(l_discount::double * 10, l_tax::double * 10), 2) AS confidence FROM lineitem")
+def final_confidence(spark, d):
+    at = _t(spark, d, "lineitem")
+    of = lambda c: F.col(c).cast("double") * 10
+    return at.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line"), R.final_confidence(of("l_discount"), of("l_tax")).alias("confidence"))
