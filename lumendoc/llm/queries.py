@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, token_counts, warc_fixity
+from . import bucket_pair, exact_dedup, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, token_counts, warc_fixity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.encode_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.mix_query,
     "op9_lm_scoring": lm_scoring.lm_query,
     "op10_jaccard_join": jaccard_join.join_query,
+    "op12_bucket_pair": bucket_pair.pair_query,
 }
 
 ORACLES = {
