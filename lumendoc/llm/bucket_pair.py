@@ -39,6 +39,7 @@ import hashlib
 import math
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,8 @@ BUCKETS = 600
 FILTER_BITS = 1 << 24
 #: A bucket with so many times the mean rows is sorted by several tasks, at most ``MOST_RUNS`` for all hot ones.
 HOT, MOST_RUNS = 4, 256
+#: Files that the driver renames or removes at a time.
+THREADS = 16
 #: Keys of a file that are hashed as one piece of text.
 PIECE = 1024
 
@@ -164,6 +167,11 @@ class Folder:
     def remove(self, name: str) -> None:
         self.fs.delete(self._at(name), True)
 
+    def each(self, do, names: list) -> None:
+        """``do`` for all of them, some at a time."""
+        with ThreadPoolExecutor(THREADS) as pool:
+            list(pool.map(do, names))
+
 
 def _parts(folder: Folder, within: str) -> list[str]:
     return [x for x in folder.names(within) if x.startswith("part-")]
@@ -187,10 +195,8 @@ def write_numbered(rows: DataFrame, number: str, folder: Folder, prefix: str, or
     if len(large) < len(counts):
         cold = (rows.where(~n.isin(large)) if large else rows).repartitionById(total, n).sortWithinPartitions(*order).drop(number)
         parquet(cold).parquet(f"{folder.path}/{work}")
-        for name in _parts(folder, work):
-            k = int(name[5:10])
-            if k in counts and k not in large:  # else the empty first file of Spark
-                folder.move(f"{work}/{name}", f"{prefix}-{k:05d}.parquet")
+        own = [x for x in _parts(folder, work) if int(x[5:10]) in counts and int(x[5:10]) not in large]  # else the empty first file of Spark
+        folder.each(lambda x: folder.move(f"{work}/{x}", f"{prefix}-{x[5:10]}.parquet"), own)
         folder.remove(work)
     if large:
         salt = unused(rows, "salt")
@@ -331,10 +337,8 @@ def rewrite(
         if left:
             moving = placed(_started(spark, folder, schema, left, number), k == 0, bucket).drop(number)
             write_numbered(moving, bucket, folder, "bucket", order, buckets + 2, hot)
-        for s in left:
-            folder.remove(f"start-{s:05d}.parquet")
-        for x in set(folder.names()) - {f"start-{s:05d}.parquet" for s in kept.values() if s is not None} - {f"bucket-{b:05d}.parquet" for b in kept}:
-            folder.remove(x)
+        final = {f"bucket-{b:05d}.parquet" if s is None else f"start-{s:05d}.parquet" for b, s in kept.items()}
+        folder.each(folder.remove, [x for x in folder.names() if x not in final])
         file = F.when(F.col("stays").isNotNull(), F.format_string("start-%05d.parquet", "stays")).otherwise(F.format_string("bucket-%05d.parquet", "bucket"))
         files = [f"{folder.path}/{x}" for x in folder.names()]
         if files:
