@@ -11,7 +11,7 @@ ascending; nulls come first, strings by their UTF-8 bytes.
    sales, and sent to the workers: keys that it does not hold are orphans for
    sure, told where the lines are read.
 2. The distinct keys that it holds are counted before they move, then verified
-   exactly by a join of both sides' keys that are partitioned by bucket.  Orphans
+   exactly by a join of both sides' keys that are dealt out by bucket.  Orphans
    that slipped through go into a second filter of the same size; a line in both
    filters is looked up among them, any other is a sale's line for sure.  So
    lines move once, and full filters cost time, not rightness.
@@ -19,7 +19,7 @@ ascending; nulls come first, strings by their UTF-8 bytes.
    most ``BUCKETS`` squared cells).  A starting file that holds just a bucket's
    rows stays; the rows of the others are dealt out by bucket, sorted and
    written, one task a bucket.
-4. Buckets of over ``HOT`` times the mean are cut by ranges of the sort order,
+4. Buckets of over ``HOT`` times the mean (and over ``HOT_ROWS`` rows) are cut by ranges of the sort order,
    sorted as runs in as many tasks, and each is then written by one task that
    streams its runs one after the other.
 
@@ -53,8 +53,8 @@ from .tokens import U, mix
 BUCKETS = 600
 #: Bits of a filter (2 MB), whatever the input: sized for some two million keys.
 FILTER_BITS = 1 << 24
-#: A bucket with so many times the mean rows is sorted by several tasks, at most ``MOST_RUNS`` for all hot ones.
-HOT, MOST_RUNS = 4, 256
+#: A bucket with so many times the mean rows, and with so many rows, is sorted by several tasks, at most ``MOST_RUNS`` for all hot ones.
+HOT, HOT_ROWS, MOST_RUNS = 4, 1 << 16, 256
 #: Files that the driver renames or removes at a time.
 THREADS = 16
 #: Keys of a file that are hashed as one piece of text.
@@ -177,20 +177,23 @@ def _parts(folder: Folder, within: str) -> list[str]:
     return [x for x in folder.names(within) if x.startswith("part-")]
 
 
-def write_numbered(rows: DataFrame, number: str, folder: Folder, prefix: str, order: list[Column], total: int, hot: float = HOT) -> dict[int, int]:
+def write_numbered(rows: DataFrame, number: str, folder: Folder, prefix: str, order: list[Column], total: int, hot: float = HOT, hot_rows: int = HOT_ROWS) -> dict[int, int]:
     """Write ``rows`` sorted, one file for each value of ``number`` (0 up to ``total``), which is left out.
 
     Gives the rows of each number.  Files are named by ``prefix`` and number.
-    A number of over ``hot`` times the mean rows is sorted in ranges by several
-    tasks, and its runs are streamed into its file by one.
+    A number of over ``hot`` times the mean rows, and over ``hot_rows``, is sorted in
+    ranges by several tasks, and its runs are streamed into its file by one.
+
+    Tasks move their files themselves (the committer's version 2): a task that
+    is run again writes the same name and rows.
     """
     spark = rows.sparkSession
     counts = {r[0]: r[1] for r in rows.groupBy(number).count().collect()}  # total at most
     if not counts:
         return counts
     mean = sum(counts.values()) / len(counts)
-    large = sorted(k for k, n in counts.items() if n > hot * mean)
-    parquet = lambda df: df.write.option("maxRecordsPerFile", 0)
+    large = sorted(k for k, n in counts.items() if n > max(hot * mean, hot_rows))
+    parquet = lambda df: df.write.option("maxRecordsPerFile", 0).option("mapreduce.fileoutputcommitter.algorithm.version", 2)
     n, work = F.col(number), f"_{prefix}"
     if len(large) < len(counts):
         cold = (rows.where(~n.isin(large)) if large else rows).repartitionById(total, n).sortWithinPartitions(*order).drop(number)
@@ -220,14 +223,14 @@ def write_numbered(rows: DataFrame, number: str, folder: Folder, prefix: str, or
     return counts
 
 
-def key_digests(spark: SparkSession, paths: list[str], schema: T.StructType, key: str) -> DataFrame:
-    """path, n_rows and the SHA-256 of the keys of each file in their order, read back from the files.
+def key_digests(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
+    """file, n_rows and the SHA-256 of the keys of each of a folder's files in their order, read back from the files.
 
     Readers make pieces of ``PIECE`` keys; one task a file hashes its pieces in order as they stream by.
     """
     place = lambda k: F.col(f"_metadata.{k}")
     only = T.StructType([f for f in schema.fields if f.name == key])
-    rows = spark.read.schema(only).parquet(*paths).select(F.element_at(F.split(place("file_path"), "/"), -1).alias("file"), place("row_index").alias("at"), F.col(key).cast("string").alias("key"))
+    rows = spark.read.schema(only).parquet(path).select(F.element_at(F.split(place("file_path"), "/"), -1).alias("file"), place("row_index").alias("at"), F.col(key).cast("string").alias("key"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,33 +264,25 @@ def key_digests(spark: SparkSession, paths: list[str], schema: T.StructType, key
 # --- the pair ---------------------------------------------------------------
 
 
-def _started(spark: SparkSession, folder: Folder, schema: T.StructType, numbers: list[int], number: str) -> DataFrame:
-    """The rows of the starting files of these numbers, with their file's number."""
-    if not numbers:
-        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(number, T.IntegerType())]))
-    at = spark.read.schema(schema).parquet(*(f"{folder.path}/start-{k:05d}.parquet" for k in numbers))
-    return at.select(*(column(at, c) for c in schema.names), F.regexp_extract(F.col("_metadata.file_name"), r"^start-(\d+)", 1).cast("int").alias(number))
-
-
 def rewrite(
     spark: SparkSession, sales: DataFrame, lines: DataFrame, sales_start: Column, lines_start: Column, *,
-    root: str, key: str = "sale_id", names: tuple[str, str] = ("sales", "sale_lines"), buckets: int = BUCKETS, bits: int = FILTER_BITS, hot: float = HOT,
+    root: str, key: str = "sale_id", names: tuple[str, str] = ("sales", "sale_lines"), buckets: int = BUCKETS, bits: int = FILTER_BITS, hot: float = HOT, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Write both tables into numbered starting files below ``root``, rewrite them into buckets, tell of every final file.
 
     sales_start, lines_start: number (int, 0 up to buckets) of the starting file of a row.
     """
     folders = [Folder(spark, f"{root}/{name}") for name in names]
-    counted, numbers, orders = [], [], []
+    counted, numbers, orders, started = [], [], [], []
     for df, start, folder in zip((sales, lines), (sales_start, lines_start), folders):
         folder.make()
         number = unused(df, "file_number")
         order = sort_order(df, key)
-        counted.append(write_numbered(df.withColumn(number, start), number, folder, "start", order, buckets + 1, hot))
+        started.append(df.withColumn(number, start))
+        counted.append(write_numbered(started[-1], number, folder, "start", order, buckets + 1, hot, hot_rows))
         numbers.append(number)
         orders.append(order)
     schemas = [sales.schema, lines.schema]
-    started = [_started(spark, f, s, sorted(c), n) for f, s, c, n in zip(folders, schemas, counted, numbers)]
     at, known = F.col(key), F.col(key).isNotNull()
 
     # which lines' keys are sales'
@@ -295,8 +290,9 @@ def rewrite(
     may_be_sale = held(spark, first, bits)
     ids = [df.select(at.cast("long").alias("key")).where("key IS NOT NULL") for df in started]
     by_key = [df.groupBy("key").agg(F.count(F.lit(1)).alias(n)).withColumn("bucket", bucket_of(F.col("key"), buckets=buckets)) for df, n in ((ids[0], "n_sales"), (ids[1].where(may_be_sale("key")), "n_lines"))]
-    dealt = [df.repartitionById(buckets, F.col("bucket")) for df in by_key]
-    verified = materialize(dealt[1].join(dealt[0], ["bucket", "key"], "left"), "pair-keys")
+    parts = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = [df.withColumn("part", F.col("bucket") % parts).repartitionById(parts, F.col("part")) for df in by_key]
+    verified = materialize(dealt[1].join(dealt[0].drop("bucket"), ["part", "key"], "left"), "pair-keys")
     joined = verified.where("n_sales IS NOT NULL").groupBy("bucket").agg(F.sum(F.col("n_lines") * F.col("n_sales")).alias("n_joined"))
     slipped = verified.where("n_sales IS NULL").select(F.col("key").alias("slipped"))
     may_have_slipped = held(spark, key_filter(slipped, bits), bits)
@@ -315,7 +311,7 @@ def rewrite(
         columns = [*(column(df, c) for c in df.columns), F.col(name)]
         return sure.select(*columns).unionByName(open_.select(*columns))
 
-    told, paths = [], []
+    told = []
     for k, (name, folder, schema, number, order) in enumerate(zip(names, folders, schemas, numbers, orders)):
         bucket = unused(started[k], "bucket_number")
         flow = placed(started[k].select(key, number), k == 0, bucket).groupBy(F.col(number).alias("s"), F.col(bucket).alias("bucket")).count()
@@ -335,19 +331,19 @@ def rewrite(
         kept = {r["bucket"]: r["stays"] for r in plan.select("bucket", "stays").collect()}  # buckets + 2 at most
         left = sorted(set(counted[k]) - set(kept.values()))
         if left:
-            moving = placed(_started(spark, folder, schema, left, number), k == 0, bucket).drop(number)
-            write_numbered(moving, bucket, folder, "bucket", order, buckets + 2, hot)
-        final = {f"bucket-{b:05d}.parquet" if s is None else f"start-{s:05d}.parquet" for b, s in kept.items()}
-        folder.each(folder.remove, [x for x in folder.names() if x not in final])
+            old = Folder(spark, f"{folder.path}/_old")
+            old.make()
+            folder.each(lambda x, to=folder: to.move(x, f"_old/{x}"), [f"start-{s:05d}.parquet" for s in left])
+            moving = placed(spark.read.schema(schema).parquet(old.path), k == 0, bucket)
+            write_numbered(moving, bucket, folder, "bucket", order, buckets + 2, hot, hot_rows)
+            folder.remove("_old")
         file = F.when(F.col("stays").isNotNull(), F.format_string("start-%05d.parquet", "stays")).otherwise(F.format_string("bucket-%05d.parquet", "bucket"))
-        files = [f"{folder.path}/{x}" for x in folder.names()]
-        if files:
-            digests = key_digests(spark, files, schema, key)
+        if kept:
+            digests = key_digests(spark, folder.path, schema, key)
             told.append(plan.withColumn("file", file).join(digests, "file").select(
                 "table_name", F.concat(F.lit(f"{folder.path}/"), "file").alias("path"), F.lit(",".join(schema.names)).alias("columns"),
                 "ids_sha256", "lineage_sha256", "bucket", "n_rows", F.col("stays").isNull().alias("rewritten"),
             ))
-        paths += files
     if not told:
         return spark.createDataFrame([], "table_name string, path string, columns string, ids_sha256 string, lineage_sha256 string, bucket long, n_rows long, n_joined long, rewritten boolean")
     out = functools.reduce(DataFrame.unionByName, told).join(joined, "bucket", "left")

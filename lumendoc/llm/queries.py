@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bucket_pair, exact_dedup, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, token_counts, warc_fixity
+from . import bucket_pair, exact_dedup, importance_resampling, jaccard_join, lm_scoring, mixing, projected_neighbours, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, token_counts, warc_fixity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.encode_query,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.mix_query,
     "op9_lm_scoring": lm_scoring.lm_query,
     "op10_jaccard_join": jaccard_join.join_query,
+    "op11_projected_neighbours": projected_neighbours.nearest_query,
     "op12_bucket_pair": bucket_pair.pair_query,
+    "op13_importance_resampling": importance_resampling.resample_query,
 }
 
 ORACLES = {
@@ -23,4 +25,5 @@ ORACLES = {
     "op3_exact_dedup": exact_dedup.DEDUP_SQL,
     "op6_quality_rules": quality_rules.RULES_SQL,
     "op8_mixing": mixing.MIX_SQL,
+    "op13_importance_resampling": importance_resampling.RESAMPLE_SQL,
 }
