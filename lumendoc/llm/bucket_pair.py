@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table, workdir
+from .common import column, materialize, plain, table, unused, workdir
 from .tokens import U, mix
 
 BUCKETS = 600
@@ -65,25 +65,10 @@ def bucket_of(key: Column, salt: str = "s", buckets: int = BUCKETS) -> Column:
     return (F.crc32(F.concat(F.lit(salt), key.cast("string"))) % buckets).cast("int")
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` does not have."""
-    have = {c.lower() for c in df.columns}
-    while name.lower() in have:
-        name += "_"
-    return name
-
-
-def column(df: DataFrame, name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def sort_order(df: DataFrame, key: str) -> list[Column]:
     """The key descending, the others ascending, nulls first; maps by their JSON text."""
-    def at(f: T.StructField) -> Column:
-        return F.to_json(column(df, f.name)) if "map<" in f.dataType.simpleString() else column(df, f.name)
-
     own, rest = [f for f in df.schema.fields if f.name == key], [f for f in df.schema.fields if f.name != key]
-    return [at(own[0]).desc_nulls_first(), *(at(f).asc_nulls_first() for f in rest)]
+    return [plain(own[0]).desc_nulls_first(), *(plain(f).asc_nulls_first() for f in rest)]
 
 
 # --- Bloom filter -----------------------------------------------------------
@@ -308,7 +293,7 @@ def rewrite(
         fake = slipped.withColumnRenamed("slipped", unused(told, "slipped"))
         open_ = told.where(F.col(doubt) == 2).join(fake, at.cast("long") == F.col(fake.columns[0]), "left")
         open_ = open_.withColumn(name, F.when(F.col(fake.columns[0]).isNotNull(), buckets).otherwise(own))
-        columns = [*(column(df, c) for c in df.columns), F.col(name)]
+        columns = [*(column(c) for c in df.columns), F.col(name)]
         return sure.select(*columns).unionByName(open_.select(*columns))
 
     told = []

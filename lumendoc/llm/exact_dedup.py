@@ -36,7 +36,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, workdir
+from .common import materialize, table, unused, workdir
 
 HOT_SHARE = 1000
 INDEX_DDL = "digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING"
@@ -156,7 +156,8 @@ def keep_texts(docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         return left
     mine = of((again["again id"], again["again digest"]))
-    twice = left.join(few(again), mine, "left_semi").dropDuplicates(["doc_id", "text"])
+    own = unused(docs, "own text")  # null and empty texts are equal
+    twice = left.join(few(again), mine, "left_semi").withColumn(own, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", own]).drop(own)
     return left.join(few(again), mine, "left_anti").unionByName(twice)
 
 

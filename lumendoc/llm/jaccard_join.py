@@ -443,9 +443,9 @@ def keep_firsts(docs: DataFrame, **how) -> DataFrame:
     Rows whose doc_id is null or repeats come after all others, in the order of
     a hash; those that are equal in every column are one document.
     """
-    known = keyed(docs)
-    found = near_duplicates(known.select(F.col("row key").alias("doc_id"), "text"), **how)
-    return drop_keyed(known, found.where("doc_id <> component_id").select("doc_id"))
+    known, key = keyed(docs)
+    found = near_duplicates(known.select(F.col(key).alias("doc_id"), "text"), **how)
+    return drop_keyed(known, key, found.where("doc_id <> component_id").select("doc_id"))
 
 
 def join_query(spark: SparkSession, sf_dir: str) -> DataFrame:

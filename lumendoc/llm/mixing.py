@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, table
+from .common import column, keyed, materialize, n_words, table, unused
 
 MOST = 3
 SALT = 64
@@ -133,15 +133,22 @@ def mix(docs: DataFrame) -> DataFrame:
 def copies(docs: DataFrame) -> DataFrame:
     """``docs`` mixed: each row as often as ``mix`` takes it.
 
-    The copies are joined to the documents by doc_id; a document without one
-    is not taken, and rows that repeat a doc_id are each taken as often as the
-    one of them that is taken most.
+    A row is told by its doc_id, or where that is null or repeats by a hash of
+    all its columns; rows that are equal in every column are taken together as
+    often as all of them are.
     """
-    plan = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("mix_copies"))
+    known, key = keyed(docs)
+    own, total, rows, nth = (unused(known, x) for x in ("mix key", "mix copies", "mix rows", "nth of mix"))
+    plan = mix(known.select(column(key).alias("doc_id"), "text", "source")).groupBy(F.col("doc_id").alias(own))
+    plan = plan.agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows)).where(F.col(total) > 0)
     plan = materialize(plan, "mix-plan")
-    out = docs.hint("merge").join(plan, docs["doc_id"] == plan["mix_id"])  # at any size, as nearly all documents have a row
-    nth = F.explode(F.sequence(F.lit(1), plan["mix_copies"].cast("int"))).alias("nth of mix")
-    return out.select(*(docs[c] for c in docs.columns), nth).drop("nth of mix")
+    once, several = plan.where(F.col(rows) == 1), plan.where(F.col(rows) > 1)
+    # merged at any size, as nearly all documents have a row
+    at = known.hint("merge").join(once, column(key) == F.col(own))
+    if not several.isEmpty():
+        at = at.unionByName(known.join(several, column(key) == F.col(own)).dropDuplicates([key]))
+    out = at.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(total))))
+    return out.select(*(column(c) for c in docs.columns))
 
 
 def mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,8 +182,8 @@ def judge(docs: DataFrame, *, few_bytes: int = FEW_BYTES, block: int = BLOCK) ->
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that ``judge`` keeps, each judged by itself, also where a doc_id is null or repeats."""
-    known = keyed(docs)
-    return drop_keyed(known, judge(known.withColumn("doc_id", F.col("row key"))).where(~F.col("kept")).select("doc_id"))
+    known, key = keyed(docs)
+    return drop_keyed(known, key, judge(known.withColumn("doc_id", F.col(key))).where(~F.col("kept")).select("doc_id"))
 
 
 def rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:

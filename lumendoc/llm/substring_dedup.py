@@ -49,7 +49,7 @@ from .collisions import HELD_KEYS, pack, part_of, parts_for, runs, unpack
 from .common import WORD, materialize, table
 from .components import connected_components
 from .jaccard_join import CLUSTER_MEMBERS, CLUSTER_SETS, link_sets, verified_links
-from .tokens import U, _bytes_of, _powers, join2, mix, row_groups, word_hashes
+from .tokens import LONG, U, _bytes_of, _powers, digest, join2, mix, row_groups, word_hashes
 
 MIN_WORDS, BLOCK, PASSAGE = 20, 20, 50
 SIZE, PERCENT = 5, 80
@@ -108,7 +108,10 @@ class Words:
 
     def run_hashes(self, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
         """A hash of the ``n`` words from each start on."""
-        return mix((self.sums[starts + n] - self.sums[starts]) * self.inverse[starts] + mix(n.astype(U)))
+        out = mix((self.sums[starts + n] - self.sums[starts]) * self.inverse[starts] + mix(n.astype(U)))
+        for k in np.flatnonzero(n > LONG):  # sums of so many can be made equal
+            out[k] = digest(self.hashes[starts[k] : starts[k] + n[k]])
+        return out
 
     def lines(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
         """(starts, lengths) of the lines of at least ``min_words`` words."""

@@ -3,12 +3,15 @@
 A-Z are lower-cased and words are runs of bytes other than ASCII white space,
 so bytes are enough.  A word's hash is a polynomial of its bytes modulo 2**64,
 mixed with its length: the sum over the word of ``(byte + 1) * BASE**place``
-comes from one running sum over a stretch of text.  It depends on the word
-alone, not on the process or the machine.
+comes from one running sum over a stretch of text.  Long words can be made so
+that such sums are equal, so words of over ``LONG`` bytes have a digest instead.
+A hash depends on the word alone, not on the process or the machine.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -16,11 +19,14 @@ BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are worked on at once.
 STRETCH = 1 << 20
+#: Bytes of a word, or words of a run, from which on sums are not trusted.
+LONG = 255
 U = np.uint64
 
 _lower = np.arange(256, dtype=np.uint64)
 _lower[65:91] += U(32)
 _VALUE = _lower + U(1)
+_LOWER = _lower.astype(np.uint8)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _tables = [np.ones(1, U), np.ones(1, U)]
@@ -33,6 +39,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
+def digest(x: np.ndarray) -> int:
+    """64 bits of a cryptographic digest."""
+    return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little")
+
+
 def join2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of an ordered pair of hashes."""
     return mix(a * U(0x9FB21C651E98DF25) + mix(b + U(0x2545F4914F6CDD1D)))
@@ -93,7 +104,10 @@ def word_hashes(texts: pa.Array, places: bool = False) -> tuple[np.ndarray, ...]
             sums = np.cumsum(_VALUE[part] * power[: len(part)], dtype=U)
             low = np.where(first > 0, sums[np.maximum(first, 1) - 1], U(0))
             found = (sums[last] - low) * inverse[first]
-            hashes.append(mix(found ^ ((last - first + 1).astype(U) * U(0xD6E8FEB86659FD93))))
+            found = mix(found ^ ((last - first + 1).astype(U) * U(0xD6E8FEB86659FD93)))
+            for k in np.flatnonzero(last - first >= LONG):
+                found[k] = digest(_LOWER[part[first[k] : last[k] + 1]])
+            hashes.append(found)
             found_at.append(first + start)
         start = end
     h, p = np.concatenate(hashes), np.concatenate(found_at)

@@ -15,7 +15,8 @@ a bounded number of children.  Trees are written once a replica.
 Cases: null payloads and addresses count as empty; a file that one replica has
 not at all differs as a whole; records that repeat an offset in one replica are
 hashed together, and reported if the other's differ; a null record id is
-carried; empty replicas agree; other columns are ignored.
+carried; empty replicas agree; other columns are ignored.  Bytes of a file that
+are no record are rows with their damage (see ``parse``), so fixity covers them.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .common import materialize, table
 
 RANGE, FANOUT = 1 << 16, 16
 PER_FILE = 1000
+#: Files of records without an id.
+NAMELESS_FILES = 1024
 VERSION = "WARC/1.0"
 
 
@@ -51,52 +54,98 @@ def seal(records: DataFrame, *more: str) -> DataFrame:
 
 
 def lay_out(sealed: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """Append the file (``per_file`` ids each) and the offset that records have one after the other."""
-    at = sealed.withColumn("file", F.floor(F.coalesce("record_id", F.lit(0)) / per_file))
-    before = Window.partitionBy("file").orderBy("record_id").rowsBetween(Window.unboundedPreceding, -1)
+    """Append the file (``per_file`` ids each; records without an id are dealt out to files below 0) and the offset that records have one after the other."""
+    spread = -1 - F.pmod(F.xxhash64("leaf"), F.lit(NAMELESS_FILES))
+    at = sealed.withColumn("file", F.coalesce(F.floor(F.col("record_id") / per_file), spread))
+    before = Window.partitionBy("file").orderBy("record_id", "leaf").rowsBetween(Window.unboundedPreceding, -1)
     return at.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """Records as read from files (record_id, file, offset, length, bytes), with the leaf in place of the bytes."""
-    return records.select("record_id", "file", F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length"), F.sha2("bytes", 256).alias("leaf"))
-
-
-def parse(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, bytes) of the records of a file; of compressed ones, each member by itself, offsets being the file's."""
-    at = 0
+def leaves(records: DataFrame, ident: str = "record_id") -> DataFrame:
+    """Records as read from files (record_id or warc_id, file, offset, length, bytes), with the leaf in place of the bytes."""
+    return records.select(F.col(ident).alias("record_id"), "file", F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length"), F.sha2("bytes", 256).alias("leaf"))
+
+
+#: Compressed bytes that are fed to the decompressor at once.
+PIECE = 1 << 16
+_GZIP = b"\x1f\x8b\x08"
+
+
+def _member(data: memoryview, at: int) -> tuple[int, bytes, str | None]:
+    """(bytes used, content, damage) of the gzip member that begins here; what could be read of a damaged one."""
+    unpack, raw, end = zlib.decompressobj(31), [], at
+    try:
+        while end < len(data) and not unpack.eof:
+            raw.append(unpack.decompress(data[end : end + PIECE]))
+            end = min(end + PIECE, len(data))
+    except zlib.error:
+        return 0, b"".join(raw), "bad gzip"
+    return end - at - len(unpack.unused_data), b"".join(raw), None if unpack.eof else "cut"
+
+
+def _record(data: bytes, at: int) -> tuple[int, str | None]:
+    """(bytes used, damage) of the plain record that begins here; 0 bytes if none can be told."""
+    if data[at : at + 5] != b"WARC/":
+        return 0, "no header"
+    head = data.find(b"\r\n\r\n", at)
+    if head < 0:
+        return len(data) - at, "cut"
+    lines = data[at:head].decode("utf-8", "replace").split("\r\n")
+    sizes = [x.split(":", 1)[1].strip() for x in lines if x.lower().startswith("content-length:")]
+    if len(sizes) != 1 or not (sizes[0].isascii() and sizes[0].isdigit()):
+        return 0, "bad length"
+    used = head + 4 + int(sizes[0]) + 4 - at
+    return (used, None) if used <= len(data) - at else (len(data) - at, "cut")
+
+
+def parse(data: bytes) -> Iterator[tuple[int, int, bytes, str | None]]:
+    """(offset, length, bytes, damage) of the records of a file, in order and without gaps.
+
+    Compressed records are a member each; offsets and lengths are the file's.
+    Where no record can be read, the stretch up to the next place that may begin
+    one is a row of its own, with what is wrong there: ``no header``, ``bad
+    length`` (missing, repeated or no number), ``bad gzip``, or ``cut`` (the file
+    ends first; such a row has what there is).
+    """
+    view, at = memoryview(data), 0
     while at < len(data):
-        if data[at : at + 2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            raw = member.decompress(data[at:]) + member.flush()
-            used = len(data) - at - len(member.unused_data)
+        packed = data[at : at + 2] == _GZIP[:2]
+        if packed:
+            used, raw, damage = _member(view, at)
         else:
-            head = data.find(b"\r\n\r\n", at)
-            if head < 0:
-                return
-            lines = data[at:head].decode("utf-8", "replace").split("\r\n")
-            size = next((int(x.split(":", 1)[1]) for x in lines if x.lower().startswith("content-length:")), 0)
-            used = head + 4 + size + 4 - at
-            raw = data[at : at + used]
-        yield at, used, raw
+            used, damage = _record(data, at)
+            raw = None
+        if not used:
+            found = [x for x in (data.find(b"WARC/", at + 1), data.find(_GZIP, at + 1)) if x >= 0]
+            used = (min(found) if found else len(data)) - at
+            raw = None
+        yield at, used, data[at : at + used] if raw is None else raw, damage
         at += used
 
 
+def warc_id(raw: bytes) -> str | None:
+    """The record's id as it stands between < and >."""
+    head = raw.split(b"\r\n\r\n", 1)[0].decode("utf-8", "replace")
+    return next((x.split(":", 1)[1].strip().strip("<>") for x in head.split("\r\n") if x.lower().startswith("warc-record-id:")), None)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, file (its name), offset, length and bytes of the WARC files below a path; a task reads a file whole."""
+    """record_id (of ids that end in a number), warc_id (any), file (its name), offset, length, bytes and damage of the WARC files below a path; a task reads a file whole."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    columns = ["record_id", "warc_id", "file", "offset", "length", "bytes", "damage"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, data in zip(b["path"], b["content"]):
                 rows = []
-                for offset, length, raw in parse(bytes(data)):
-                    head = raw.split(b"\r\n\r\n", 1)[0].decode("utf-8", "replace")
-                    ident = next((x.rsplit(":", 1)[1].rstrip(">") for x in head.split("\r\n") if x.lower().startswith("warc-record-id:")), "")
-                    rows.append((int(ident) if ident.isdigit() else None, name.rsplit("/", 1)[1], offset, length, raw))
-                yield pd.DataFrame(rows, columns=["record_id", "file", "offset", "length", "bytes"]).astype({"record_id": "Int64"})
-
-    return files.select("path", "content").mapInPandas(run, "record_id long, file string, offset long, length long, bytes binary")
+                for offset, length, raw, damage in parse(bytes(data)):
+                    ident = warc_id(raw) if damage in (None, "cut") else None
+                    last = (ident or "").rsplit(":", 1)[-1]
+                    number = int(last) if last.isascii() and last.isdigit() and len(last) < 19 else None
+                    rows.append((number, ident, name.rsplit("/", 1)[1], offset, length, raw, damage))
+                yield pd.DataFrame(rows, columns=columns).astype({"record_id": "Int64"})
+
+    return files.select("path", "content").mapInPandas(run, "record_id long, warc_id string, file string, offset long, length long, bytes binary, damage string")
 
 
 def levels_of(last: int | None) -> int:

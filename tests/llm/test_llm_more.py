@@ -254,3 +254,47 @@ def test_token_counts_of_given_sections(spark, rule):
         n, out, over = brute_counts(t, parts or [], rule)
         want = {j: (out[j], over[j]) for j in range(len(parts or []))} | ({-1: (out[-1], over[-1])} if out[-1] else {})
         assert got[k] == want
+
+
+def warc(body=b"x", ident="urn:uuid:1f8b08aa-0000", length=None):
+    return b"WARC/1.0\r\nWARC-Record-ID: <" + ident.encode() + b">\r\nContent-Length: " + (str(len(body)) if length is None else length).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_damaged_warc_files():
+    good = warc(b"one\r\n\r\nWARC is a word")
+    for data in (good, gzip.compress(good)):
+        ((at, used, raw, damage),) = warc_fixity.parse(data)
+        assert (at, used, raw, damage) == (0, len(data), good, None)
+    cases = {
+        "no header": b"HTTP/1.1 200\r\n\r\njunk", "bad length": warc(length="12x"), "cut": warc(b"abc", length="99999"),
+        "bad gzip": gzip.compress(good)[:12] + b"\xff" * 20 + gzip.compress(good)[32:],
+    }
+    for damage, bad in cases.items():
+        for before in (b"", good, gzip.compress(good)):
+            rows = list(warc_fixity.parse(before + bad))
+            assert rows[-1][3] == damage and sum(r[1] for r in rows) == len(before + bad)
+            assert [r[0] for r in rows] == [sum(r[1] for r in rows[:k]) for k in range(len(rows))]
+            assert [r[3] for r in rows][: bool(before)] == [None] * bool(before)
+            if damage != "cut":  # what follows is read again
+                after = list(warc_fixity.parse(before + bad + good))
+                assert after[-1][1:] == (len(good), good, None)
+    assert list(warc_fixity.parse(b"")) == []
+    assert [r[3] for r in warc_fixity.parse(gzip.compress(good)[:-9])] == ["cut"]
+    assert [r[3] for r in warc_fixity.parse(b"WARC/1.0\r\nno end")] == ["cut"]
+    big = gzip.compress(warc(random.Random(1).randbytes(300_000)), 1) * 3
+    assert [r[3] for r in warc_fixity.parse(big)] == [None] * 3
+
+
+def test_damaged_files_as_rows(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(warc() + b"junk" + warc(ident="urn:record:17") + warc(ident="urn:uuid:b", length="z"))
+    got = warc_fixity.read_files(spark, str(tmp_path)).orderBy("offset").collect()
+    assert [(r["record_id"], r["warc_id"], r["damage"]) for r in got] == [(None, "urn:uuid:1f8b08aa-0000", None), (None, None, "no header"), (17, "urn:record:17", None), (None, None, "bad length")]
+    own = warc_fixity.leaves(warc_fixity.read_files(spark, str(tmp_path)), "warc_id")
+    assert warc_fixity.audit(own, own.where("record_id IS NULL OR record_id <> 'urn:record:17'")).collect()[0]["record_id"] == "urn:record:17"
+
+
+def test_records_without_ids_are_spread(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("record_id"), F.col("id").cast("string").cast("binary").alias("bytes"))
+    laid = warc_fixity.lay_out(warc_fixity.seal(df))
+    assert laid.select("file").distinct().count() > 500 and laid.where("file >= 0").count() == 0
+    assert warc_fixity.audit(laid, laid).count() == 0
