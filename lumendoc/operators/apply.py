@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumendoc.functions.arrow import arrow_function
 from lumendoc import model
-from lumendoc.functions import dom
+from lumendoc.functions import dom, splice
 
 DOCTYPE = "<!DOCTYPE html>"
 
@@ -65,16 +65,37 @@ def insert(el: dom.Node, p: dict) -> str:
 OPERATIONS = {"annotate": annotate, "replace": replace, "wrap": wrap, "insert": insert}
 
 
-def apply_all(html: str | None, patches) -> dict:
-    """Apply in order; the first failure leaves the page as it was."""
+def _entry(k: int, p: dict) -> dict:
+    return {"index": k, "element_id": p["element_id"], "operation": p["operation"], "new_value": p["new_value"], "status": "applied", "detail": None, "error": None}
+
+
+def splice_all(html: str, patches: list[dict]) -> dict | None:
+    """``apply_all`` for a page that it has written itself and patches that only annotate, without a tree; None where that can't be told."""
+    if any(p["operation"] != "annotate" or not p["target_attribute"] or p["element_id"] is None for p in patches):
+        return None
+    out = splice.annotate(html, [(p["element_id"], p["target_attribute"], p["new_value"] or "") for p in patches])
+    log = [_entry(k, p) | {"detail": f'set {p["target_attribute"]}="{p["new_value"]}"'} for k, p in enumerate(patches)]
+    return None if out is None else {"html": out, "ok": True, "error": None, "log": log}
+
+
+def apply_all(html: str | None, patches, canonical: bool = False) -> dict:
+    """Apply in order; the first failure leaves the page as it was.
+
+    canonical: the page is a result of this function by patches that only
+    annotate, so that it would be written as it stands.
+    """
     html = html or ""
+    if canonical:
+        spliced = splice_all(html, list(patches if patches is not None else []))
+        if spliced is not None:
+            return spliced
     top, log = dom.parse(html), []
     by_id = dom.index(top)
     for k, p in enumerate(patches if patches is not None else []):
         p = dict(p)
         if not isinstance(p.get("wrapper_attributes"), dict):
             p["wrapper_attributes"] = dict(p.get("wrapper_attributes") if p.get("wrapper_attributes") is not None else ())
-        entry = {"index": k, "element_id": p["element_id"], "operation": p["operation"], "new_value": p["new_value"], "status": "applied", "detail": None, "error": None}
+        entry = _entry(k, p)
         log.append(entry)
         try:
             el = by_id.get(p["element_id"])
@@ -99,9 +120,19 @@ def _apply(html: pd.Series, patches: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([apply_all(h, p) for h, p in zip(html, patches)], columns=["html", "ok", "error", "log"])
 
 
-def apply_patches(html: Column, patches: Column) -> Column:
-    """Struct of html, ok, error and log; ``patches``: array of PATCH."""
-    return _apply(html, patches)
+@arrow_function(model.APPLIED)
+def _apply_known(html: pd.Series, patches: pd.Series, canonical: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([apply_all(h, p, bool(c)) for h, p, c in zip(html, patches, canonical)], columns=["html", "ok", "error", "log"])
+
+
+def apply_patches(html: Column, patches: Column, canonical: Column | None = None) -> Column:
+    """Struct of html, ok, error and log; ``patches``: array of PATCH; ``canonical``: whether a page stands as ``stays_canonical`` tells."""
+    return _apply(html, patches) if canonical is None else _apply_known(html, patches, canonical)
+
+
+def stays_canonical(patches: Column) -> Column:
+    """Whether pages after these patches stand as they would be written again: no operation moved an element."""
+    return F.forall(patches, lambda p: p["operation"] == "annotate")
 
 
 def annotate_maps(attrs: Column, patches: Column) -> Column:

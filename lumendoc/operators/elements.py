@@ -10,30 +10,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumendoc.functions.arrow import arrow_function
-from lumendoc.functions import dom
+from lumendoc.functions import markup, spans
 
 ELEMENT = "array<struct<pos int, ir_id string, tag string, text string, alt string, empty boolean, attrs map<string,string>>>"
-MEASURE = "struct<words int, images int, headings array<int>, tables array<struct<rows int, cells int>>>"
 
 
 @arrow_function(ELEMENT)
-def element_array(html: pd.Series) -> pd.Series:
-    return html.map(lambda x: dom.elements(x or ""))
+def _all_elements(html: pd.Series) -> pd.Series:
+    return html.map(spans.identified)
 
 
-@arrow_function("struct<words int, images int, headings array<int>, tables array<struct<rows:int, cells:int>>>")
-def _measure(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([dom.measure(x or "") for x in html], columns=["words", "images", "headings", "tables"])
+@arrow_function(ELEMENT)
+def _wanted_elements(html: pd.Series, wanted: pd.Series) -> pd.Series:
+    return pd.Series([spans.identified(h, frozenset(() if w is None else w)) for h, w in zip(html, wanted)], dtype=object)
+
+
+def element_array(html: Column, wanted: Column | None = None) -> Column:
+    """Identified elements of a page in order; ``wanted``: an array of the identifiers that are asked for, so that no others leave the scan."""
+    return _all_elements(html) if wanted is None else _wanted_elements(html, wanted)
 
 
 def measure(html: Column) -> Column:
     """Visible words, images, heading levels and table shapes of a page."""
-    return _measure(html)
+    return markup.measure(html)
 
 
-def element_table(pages: DataFrame, *keys: str, html: str = "html") -> DataFrame:
-    """One row an element: keys, pos, ir_id, tag, text, alt, empty, attrs."""
-    return pages.select(*keys, F.explode(element_array(html)).alias("e")).select(*keys, "e.*")
+def element_table(pages: DataFrame, *keys: str, html: str = "html", wanted: Column | None = None) -> DataFrame:
+    """One row an element: keys, pos, ir_id, tag, text, alt, empty, attrs; with ``wanted`` only the elements that a row's array names."""
+    return pages.select(*keys, F.explode(element_array(F.col(html), wanted)).alias("e")).select(*keys, "e.*")
 
 
 def last_of_each(elements: DataFrame, *keys: str) -> DataFrame:

@@ -1,14 +1,21 @@
 """The remediation loop over all documents at once, for up to three rounds.
 
-State is one row a document.  A round is one pass over the active ones: reviews,
-consensus, decisions, patches, gate and score; then each document is accepted,
-put back or stopped by expressions, and the state is written, which cuts the
-lineage.  The driver holds counts only.  A document's failure is a status, not
-a failed task.
+A round is one pass over the active documents: reviews, consensus, decisions,
+patches, gate and score; then each document is accepted, put back or stopped by
+expressions.  A round is written once, as a delta: the next one reads only those
+of its rows that go on, the finished ones stay where they are.  What a round
+writes thus follows the documents that are still active.  The driver holds
+counts only.  A document's failure is a status, not a failed task.
+
+Pages are read as little as the round needs: identified elements only for the
+ids that the reviews name, patches that only annotate are spliced into pages
+that the loop has written before, and pages that a round left as they were keep
+their score.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import pandas as pd
@@ -24,8 +31,11 @@ from . import apply, elements, gate, judge, reviews, score
 
 MAX_ROUNDS = 3
 THRESHOLD = 95.0
-#: (round, rows of doc_id and html) to rows of doc_id, reviews (REVIEWS; null: no more), failed.
+#: (round, rows of doc_id and html) to rows of doc_id, reviews (REVIEWS; null: no more), failed, and if it
+#: can tell, health (map of reviewer to "success" or another word).
 ReviewsProvider = Callable[[int, DataFrame], DataFrame]
+#: (html, patches, canonical) to APPLIED.
+Applicator = Callable[[Column, Column, Column], Column]
 
 _SYNTH = {
     1: ("table", "aria-label", "This table has no name that is read out.", 'Set aria-label="{}" on it.'),
@@ -69,30 +79,43 @@ def synth_provider(turn: int, active: DataFrame) -> DataFrame:
 
 
 def file_provider(rounds: dict[int, DataFrame]) -> ReviewsProvider:
-    """Stored reviews (doc_id, reviews) by round; a round without any stops."""
+    """Stored reviews (doc_id, reviews) by round; a round without any stops. Every reviewer that has an entry counts as healthy."""
 
     def provide(turn: int, active: DataFrame) -> DataFrame:
+        none = F.lit(None).cast("map<string,string>")
         if turn not in rounds:
-            return active.select("doc_id", F.lit(None).cast(model.REVIEWS).alias("reviews"), F.lit(False).alias("failed"))
-        return active.select("doc_id").join(rounds[turn], "doc_id", "left").select("doc_id", "reviews", F.lit(False).alias("failed"))
+            return active.select("doc_id", F.lit(None).cast(model.REVIEWS).alias("reviews"), F.lit(False).alias("failed"), none.alias("health"))
+        health = F.transform_values("reviews", lambda k, v: F.lit("success"))
+        return active.select("doc_id").join(rounds[turn], "doc_id", "left").select("doc_id", "reviews", F.lit(False).alias("failed"), health.alias("health"))
 
     return provide
 
 
-def _round(turn: int, active: DataFrame, provider: ReviewsProvider, alt: judge.AltProvider | None, scorer: score.Scorer, threshold: float) -> DataFrame:
-    """doc_id, html (after the round), status, stop and the round's figures."""
-    told = materialize(active.select("doc_id", "html", "violations").join(provider(turn, active.select("doc_id", "html")), "doc_id", "left"), "loop-reviews")
-    live = told.where("reviews IS NOT NULL AND NOT coalesce(failed, false)")
+#: One row a document: what the rounds so far have left.
+_HEALTH = "array<struct<reviewer string, round int, status string>>"
+_STATE = ("baseline", "last", "violations", "rounds_accepted", "canonical", "health")
+
+
+def _round(turn: int, active: DataFrame, provider: ReviewsProvider, alt: judge.AltProvider | None, scorer: score.Scorer, threshold: float, applicator: Applicator) -> DataFrame:
+    """The active documents after a round: doc_id, html, the state, and the round's figures with its status (null: none) and stop (null: it goes on)."""
+    told = provider(turn, active.select("doc_id", "html"))
+    health = F.col("health") if "health" in told.columns else F.lit(None).cast("map<string,string>")
+    told = told.select("doc_id", "reviews", F.coalesce("failed", F.lit(False)).alias("failed"), F.when(~F.coalesce("failed", F.lit(False)), health).alias("told_health"))
+    met = F.transform(F.map_entries(F.coalesce("told_health", F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("reviewer"), F.lit(turn).alias("round"), e["value"].alias("status")))
+    told = active.join(told, "doc_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False))).withColumn("health", F.concat("health", met)).drop("told_health")
+    told = materialize(told, "loop-reviews")
+    live = told.where("reviews IS NOT NULL AND NOT failed")
     groups = reviews.consensus(reviews.explode_reviews(live.select("doc_id", "reviews"), "doc_id"), "doc_id")
-    index = elements.last_of_each(elements.element_table(live, "doc_id"), "doc_id")
+    named = F.array_distinct(F.transform(F.flatten(F.map_values("reviews")), lambda i: i["element_id"]))
+    index = elements.last_of_each(elements.element_table(live, "doc_id", wanted=named), "doc_id")
     decided = materialize(judge.decide(judge.classify(groups, index, "doc_id"), alt), "loop-decisions")
     audits = judge.audit(decided, "doc_id")
     audits = audits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*audits.columns[1:]))).alias("judge_audit"))
-    at = live.join(judge.manifests(decided, "doc_id"), "doc_id", "left").join(audits, "doc_id", "left")
-    at = at.withColumn("patches", F.coalesce("patches", F.array().cast(model.PATCHES))).withColumn("applied", apply.apply_patches(F.col("html"), F.col("patches")))
-    at = at.withColumn("patched", F.col("applied.html"))
-    at = materialize(gate.run_gate(at, "html", "patched").withColumn("scored", scorer(F.col("patched"))), "loop-patched")
-    at = at.withColumn("s", score.summary(F.col("scored")))
+    at = live.drop("reviews", "failed").join(judge.manifests(decided, "doc_id"), "doc_id", "left").join(audits, "doc_id", "left")
+    at = at.withColumn("patches", F.coalesce("patches", F.array().cast(model.PATCHES))).withColumn("applied", applicator(F.col("html"), F.col("patches"), F.col("canonical")))
+    at = gate.run_gate(at.withColumn("patched", F.col("applied.html")), "html", "patched")
+    changed = ~F.col("patched").eqNullSafe(F.col("html"))
+    at = at.withColumn("scored", scorer(F.when(changed, F.col("patched")))).withColumn("s", F.when(changed, score.summary(F.col("scored"))).otherwise(F.col("last")))
     status = (
         F.when(~F.col("applied.ok"), "applicator_rollback")
         .when(~F.col("gate_passed"), "gate_failed_reverted")
@@ -107,58 +130,63 @@ def _round(turn: int, active: DataFrame, provider: ReviewsProvider, alt: judge.A
         .when(F.col("status") == "axe_regression_reverted", "axe_regression")
         .when(done, "converged")
     )
+    took = F.col("status") == "accepted"
+    keep = lambda new, old: F.when(took, new).otherwise(F.col(old))
     out = at.select(
-        "doc_id", F.when(F.col("status") == "accepted", F.col("patched")).otherwise(F.col("html")).alias("html"), "status", stop.alias("stop"), F.col("n").alias("patches_applied"),
+        "doc_id", keep(F.col("patched"), "html").alias("html"), "baseline", keep(F.col("s"), "last").alias("last"), keep(F.col("s.violations"), "violations").alias("violations"),
+        (F.col("rounds_accepted") + took.cast("int")).alias("rounds_accepted"), keep(apply.stays_canonical(F.col("patches")), "canonical").alias("canonical"), "health",
+        "status", stop.alias("stop"), F.col("n").alias("patches_applied"),
         F.coalesce("n_rejected", F.lit(0)).cast("long").alias("rejected"), "s.score", "s.violations", "s.passes", "s.critical_serious", "gate_passed", F.col("gate_failed").alias("gate_failed_checks"), "gate_checks",
         F.when(F.col("status") == "axe_regression_reverted", F.concat(F.col("violations").cast("string"), F.lit(" -> "), F.col("s.violations").cast("string"), F.lit(" violations"))).alias("regression"),
         F.when(F.col("status") == "applicator_rollback", "No patch of this round was applied; the log names the first that failed.").alias("error"), "judge_audit",
     )
-    off = told.where("reviews IS NULL OR coalesce(failed, false)")
-    failed = F.coalesce(F.col("failed"), F.lit(False))
-    blank = [F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns[4:-2]]
-    gone = off.select(
-        "doc_id", "html", F.when(failed, "reviewers_failed").alias("status"), F.when(failed, "reviewers_failed").otherwise("no_more_reviews").alias("stop"), *blank,
-        F.when(failed, "No reviewer gave a readable answer.").alias("error"), F.lit(None).cast(out.schema["judge_audit"].dataType).alias("judge_audit"),
-    )
-    return materialize(out.unionByName(gone).withColumn("round", F.lit(turn)), "loop-round")
+    state = ["doc_id", "html", *_STATE]
+    figures = [f for f in out.schema.fields[len(state) :]]
+    out = out.toDF(*state, *(f"r_{f.name}" for f in figures))
+    failed = F.col("failed")
+    gone = {
+        "status": F.when(failed, "reviewers_failed"), "stop": F.when(failed, "reviewers_failed").otherwise("no_more_reviews"),
+        "error": F.when(failed, "No reviewer gave a readable answer."),
+    }
+    off = told.where("reviews IS NULL OR failed").select(*state, *(gone.get(f.name, F.lit(None).cast(f.dataType)).alias(f"r_{f.name}") for f in figures))
+    return materialize(out.unionByName(off).withColumn("r_round", F.lit(turn)), "loop-round")
 
 
 def run_loop(
     baseline: DataFrame, provider: ReviewsProvider = synth_provider, *, alt_provider: judge.AltProvider | None = None, scorer: score.Scorer = score.offline_scorer,
-    max_rounds: int = MAX_ROUNDS, threshold: float = THRESHOLD, on_round: Callable[[int, DataFrame], None] | None = None,
+    applicator: Applicator = apply.apply_patches, max_rounds: int = MAX_ROUNDS, threshold: float = THRESHOLD, on_round: Callable[[int, DataFrame], None] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """baseline: doc_id and html.  Gives (runs, rounds).
 
     rounds: one row a document and round that has a status (a round that only
-    found no more reviews has none).  runs: one row a document.  The final score
-    is the last accepted one, as the page has not changed since.
+    found no more reviews has none).  runs: one row a document, with the health
+    of its reviewers over the rounds.  The final score is the last accepted one,
+    as the page has not changed since.  ``on_round`` gets the accepted rows of a
+    round, with their health so far.
     """
-    state = baseline.select("doc_id", "html").withColumn("s", score.summary(scorer(F.col("html"))))
-    state = state.select("doc_id", "html", F.col("s").alias("baseline"), F.col("s").alias("final"), F.col("s.violations").alias("violations"), F.lit(0).alias("rounds_accepted"), F.lit(None).cast("string").alias("stopped_reason"))
-    state = materialize(state, "loop-state")
-    rounds = None
+    first = score.summary(scorer(F.col("html")))
+    state = baseline.select("doc_id", "html").withColumn("s", first)
+    state = state.select("doc_id", "html", F.col("s").alias("baseline"), F.col("s").alias("last"), F.col("s.violations").alias("violations"), F.lit(0).alias("rounds_accepted"), F.lit(False).alias("canonical"), F.array().cast(_HEALTH).alias("health"))
+    active = materialize(state, "loop-state")
+    finished, rounds = [], []
+    as_round = lambda now: now.select("doc_id", *(F.col(c).alias(c[2:]) for c in now.columns if c.startswith("r_")), "health").where("status IS NOT NULL").drop("stop")
     for turn in range(1, max_rounds + 1):
-        active = state.where("stopped_reason IS NULL")
         if active.isEmpty():
             break
-        now = _round(turn, active, provider, alt_provider, scorer, threshold)
-        rounds = now if rounds is None else rounds.unionByName(now)
+        now = _round(turn, active, provider, alt_provider, scorer, threshold, applicator)
+        rounds.append(as_round(now).drop("health"))
         if on_round:
-            on_round(turn, now.where("status = 'accepted'"))
-        took = F.col("r.status") == "accepted"
-        keep = lambda new, old: F.when(took, new).otherwise(old)
-        s = state.alias("s").join(now.alias("r"), "doc_id", "left")
-        got = F.struct(*(F.col(f"r.{c}").alias(c) for c in ("score", "violations", "passes", "critical_serious")))
-        state = materialize(
-            s.select(
-                "doc_id", F.coalesce("r.html", "s.html").alias("html"), "s.baseline", keep(got, F.col("s.final")).alias("final"), keep(F.col("r.violations"), F.col("s.violations")).alias("violations"),
-                (F.col("s.rounds_accepted") + F.coalesce(took, F.lit(False)).cast("int")).alias("rounds_accepted"), F.coalesce("s.stopped_reason", "r.stop").alias("stopped_reason"),
-            ), "loop-state",
-        )
-    runs = state.select("doc_id", "baseline", "final", "rounds_accepted", F.coalesce("stopped_reason", F.lit("max_rounds_reached")).alias("stopped_reason"), F.col("html").alias("final_html"))
-    if rounds is None:  # no documents, or no rounds asked for
-        rounds = _round(0, state.limit(0).select("doc_id", "html", "violations"), synth_provider, None, scorer, threshold)
-    return runs, rounds.where("status IS NOT NULL").drop("html")
+            on_round(turn, as_round(now).where("status = 'accepted'"))
+        finished.append(now.where("r_stop IS NOT NULL").select("doc_id", "html", *_STATE, F.col("r_stop").alias("stop")))
+        active = now.where("r_stop IS NULL").select("doc_id", "html", *_STATE)
+    every = functools.reduce(DataFrame.unionByName, finished, active.withColumn("stop", F.lit("max_rounds_reached")))
+    who = F.array_distinct(F.transform("health", lambda x: x["reviewer"]))
+    met = lambda r: F.transform(F.filter("health", lambda x: x["reviewer"] == r), lambda x: F.struct(x["round"].alias("round"), x["status"].alias("status")))
+    health = F.transform(who, lambda r: F.struct(r.alias("reviewer"), merge_health(met(r)).alias("health")))
+    runs = every.select("doc_id", "baseline", F.col("last").alias("final"), "rounds_accepted", F.col("stop").alias("stopped_reason"), F.col("html").alias("final_html"), health.alias("reviewer_health"))
+    if not rounds:  # no documents, or no rounds asked for
+        rounds = [as_round(_round(0, active.limit(0), synth_provider, None, scorer, threshold, applicator)).drop("health")]
+    return runs, functools.reduce(DataFrame.unionByName, rounds)
 
 
 def merge_health(rounds_health: Column) -> Column:

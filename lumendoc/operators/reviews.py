@@ -126,8 +126,18 @@ def health(raw: DataFrame, *keys: str) -> DataFrame:
     return got.groupBy(*keys).agg(status.alias("reviewer_status"), (~F.bool_or("ok")).alias("all_failed"))
 
 
-def _similar(a: str, b: str) -> bool:
-    return difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() >= FUZZY
+def similar(a: str, b: str) -> bool:
+    """Whether the ratio of matching blocks reaches FUZZY.
+
+    Two bounds of it that cost linear time come first: by the lengths, and by
+    the characters that both hold, however placed.  Only texts that pass both
+    have their blocks matched.
+    """
+    a, b = a.lower(), b.lower()
+    if a == b:
+        return True
+    matcher = difflib.SequenceMatcher(None, a, b)
+    return matcher.real_quick_ratio() >= FUZZY and matcher.quick_ratio() >= FUZZY and matcher.ratio() >= FUZZY
 
 
 @arrow_function("array<int>")
@@ -138,7 +148,7 @@ def _greedy(targets: pd.Series, issues: pd.Series) -> pd.Series:
         heads, out = [], []
         for t, x in zip(ts, xs):
             x = x or ""
-            same = (k for k, (ht, hx) in enumerate(heads) if (ht == t if ht and t else _similar(hx, x)))
+            same = (k for k, (ht, hx) in enumerate(heads) if (ht == t if ht and t else similar(hx, x)))
             k = next(same, len(heads))
             if k == len(heads):
                 heads.append((t, x))

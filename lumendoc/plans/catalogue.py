@@ -253,14 +253,32 @@ def consensus_confidence(spark, d):
     return g.select("doc_id", "n_reviewers", F.col("n_reviewers_all").alias("asked"), "confidence", F.array_join("reviewers", ",").alias("reviewers"))
 
 
+def told_issues(rows: DataFrame, *keys: str, told: dict) -> DataFrame:
+    """Issues on one element that name no attribute: ``told`` gives what each reviewer says."""
+    say = lambda k, r: F.struct(F.lit(r).alias("reviewer"), F.lit(k).alias("reviewer_pos"), told[r].alias("issue"))
+    out = rows.select(*keys, F.explode(F.array(*(say(k, r) for k, r in enumerate(told)))).alias("s")).select(*keys, "s.*")
+    fixed = {"issue_pos": 0, "element_id": "e", "wcag_criterion": "1.3.1", "impact": "minor", "suggested_fix": "rewrite", "confidence": 0.5, "fix_type": "x", "hallucinated": False}
+    return out.select("*", *(F.lit(v).alias(k) for k, v in fixed.items()))
+
+
 @query()
 def fuzzy_dedup(spark, d):
-    """Groups by similar words where no attribute is named: each document's whole text as three reviewers tell it, the second backwards and the third in capitals."""
-    w = _t(spark, d, "documents").select("doc_id", F.split("text", r"\s+").alias("w"))
-    say = lambda r, k, words, text=lambda t: t: F.struct(F.lit(r).alias("reviewer"), F.lit(k).alias("reviewer_pos"), text(F.array_join(words, " ")).alias("issue"))
-    rows = w.select("doc_id", F.explode(F.array(say("a", 0, F.col("w")), say("b", 1, F.reverse("w")), say("c", 2, F.col("w"), F.upper))).alias("s")).select("doc_id", "s.*")
-    full = rows.select("*", F.lit(0).alias("issue_pos"), F.lit("e").alias("element_id"), F.lit("1.3.1").alias("wcag_criterion"), F.lit("minor").alias("impact"), F.lit("rewrite").alias("suggested_fix"), F.lit(0.5).alias("confidence"), F.lit("x").alias("fix_type"), F.lit(False).alias("hallucinated"))
-    return reviews.consensus(full, "doc_id").select("doc_id", F.sha2("issue", 256).alias("issue_sha256"), "n_reviewers", "confidence")
+    """Groups by similar words where no attribute is named: what is said in each turn of a conversation as three reviewers tell it, the second backwards and the third in capitals."""
+    w = F.split("text", r"\s+")
+    told = {"a": F.array_join(w, " "), "b": F.array_join(F.reverse(w), " "), "c": F.upper(F.array_join(w, " "))}
+    found = reviews.consensus(told_issues(_t(spark, d, "conversations"), "conv_id", "turn", told=told), "conv_id", "turn")
+    return found.select("conv_id", "turn", F.sha2("issue", 256).alias("issue_sha256"), "n_reviewers", "confidence")
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, text, repeat('#', length(text)::int) AS other FROM conversations)
+SELECT conv_id, turn, sha256(text) AS issue_sha256, CASE WHEN text = '' THEN 3 ELSE 2 END AS n_reviewers FROM t
+UNION ALL SELECT conv_id, turn, sha256(other), 1 FROM t WHERE text <> ''""")
+def fuzzy_groups(spark, d):
+    """Whole turns told in small letters, in capitals, and by signs that no turn holds: the first two are one group."""
+    told = {"a": F.col("text"), "b": F.upper("text"), "c": F.repeat(F.lit("#"), F.length("text"))}
+    found = reviews.consensus(told_issues(_t(spark, d, "conversations"), "conv_id", "turn", told=told), "conv_id", "turn")
+    return found.select("conv_id", "turn", F.sha2("issue", 256).alias("issue_sha256"), "n_reviewers")
 
 
 @query("""
@@ -446,12 +464,20 @@ def _renaming(turn: int, pages: DataFrame):
 
 
 def _varied_reviews(turn: int, pages: DataFrame) -> DataFrame:
-    """By the id's remainder: no reviews, none readable, the pages' own lacks, and two kinds of renaming."""
-    k = F.col("doc_id") % 5
+    """By the id's remainder: no reviews, none readable, the pages' own lacks, and two kinds of renaming, of pages that can be patched and that can't."""
+    k = F.col("doc_id") % 7
     at = loop.synth_provider(turn, pages).join(_renaming(turn, pages), "doc_id")
     return at.select("doc_id", F.when(k == 0, F.lit(None)).when(k >= 3, F.col("renamed")).otherwise(F.col("reviews").cast(model.REVIEWS)).alias("reviews"), (k == 1).alias("failed"))
 
 
+def _faulty_applicator(html, patches, canonical):
+    """The applicator, but for two kinds of pages: patches of one fail, those of the other lose its text."""
+    a = apply.apply_patches(html, patches, canonical)
+    k = F.regexp_extract(html, r"Supplier (\d+)<", 1).cast("long") % 7
+    text = F.when(k == 6, F.regexp_replace(a["html"], r"(?s)<main.*</main>", "")).otherwise(a["html"])
+    return F.struct(F.when(k == 5, html).otherwise(text).alias("html"), (a["ok"] & (k != 5)).alias("ok"), a["error"].alias("error"), a["log"].alias("log"))
+
+
 def _strict_scorer(html):
     """The offline scorer, to which the name "worse" is two violations more."""
     s = score.offline_scorer(html)
@@ -461,13 +487,15 @@ def _strict_scorer(html):
 
 
 @query("""
-SELECT s_suppkey::bigint AS doc_id, ['no_more_reviews', 'reviewers_failed', 'converged', 'max_rounds_reached', 'axe_regression'][(s_suppkey % 5 + 1)::int] AS stopped_reason,
-       [0, 0, 3, 3, 0][(s_suppkey % 5 + 1)::int] AS rounds_accepted, s_suppkey % 5 NOT IN (2, 3) AS unchanged, s_suppkey % 5 = 2 AS table_named,
-       ['', 'reviewers_failed', 'accepted,accepted,accepted', 'accepted,accepted,accepted', 'axe_regression_reverted'][(s_suppkey % 5 + 1)::int] AS statuses FROM supplier""")
+WITH s AS (SELECT s_suppkey::bigint AS doc_id, (s_suppkey % 7 + 1)::int AS k, s_suppkey % 5 = 4 AS worse FROM supplier)
+SELECT doc_id, CASE WHEN k IN (4, 5) AND worse THEN 'axe_regression' ELSE ['no_more_reviews', 'reviewers_failed', 'converged', 'max_rounds_reached', 'max_rounds_reached', 'applicator_rollback', 'gate_failed'][k] END AS stopped_reason,
+       CASE WHEN k IN (4, 5) AND worse THEN 0 ELSE [0, 0, 3, 3, 3, 0, 0][k] END AS rounds_accepted, k NOT IN (3, 4, 5) OR (k <> 3 AND worse) AS unchanged, k = 3 AS table_named,
+       CASE WHEN k IN (4, 5) AND worse THEN 'axe_regression_reverted' ELSE
+            ['', 'reviewers_failed', 'accepted,accepted,accepted', 'accepted,accepted,accepted', 'accepted,accepted,accepted', 'applicator_rollback', 'gate_failed_reverted'][k] END AS statuses FROM s""")
 def stop_reasons(spark, d):
-    """The loop over pages whose reviews differ: it stops for five reasons, and takes back what makes a page worse."""
+    """The loop over pages whose reviews and applicator differ: it stops for all its seven reasons, and takes back what makes a page worse."""
     pages = supplier_pages(spark, d)
-    runs, rounds = loop.run_loop(pages, _varied_reviews, scorer=_strict_scorer)
+    runs, rounds = loop.run_loop(pages, _varied_reviews, scorer=_strict_scorer, applicator=_faulty_applicator)
     turns = rounds.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("round", "status"))).alias("r"))
     at = runs.join(pages, "doc_id").join(turns, "doc_id", "left")
     statuses = F.coalesce(F.array_join(F.transform("r", lambda x: x["status"]), ","), F.lit(""))
@@ -517,3 +545,6 @@ def final_confidence(spark, d):
     at = _t(spark, d, "lineitem")
     of = lambda c: F.col(c).cast("double") * 10
     return at.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line"), R.final_confidence(of("l_discount"), of("l_tax")).alias("confidence"))
+
+
+from . import pages as _pages  # noqa: E402, F401  its queries are registered here

@@ -72,9 +72,9 @@ def attach_images(docs: DataFrame, images: DataFrame) -> DataFrame:
     return docs.join(per, "doc_id", "left")
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Stored runs, one JSON document a file."""
-    return spark.read.schema(SNAPSHOT).option("multiLine", "true").json(path)
+def read_snapshots(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Stored runs, one JSON document a file, or with ``lines`` a line."""
+    return spark.read.schema(SNAPSHOT).option("multiLine", str(not lines).lower()).json(path)
 
 
 def read_settings(text: str, known: dict[str, str] | None = None) -> dict[str, str]:

@@ -167,10 +167,10 @@ def test_loop_converges(spark):
 
 
 @pytest.mark.parametrize("case", ["no_more_reviews", "reviewers_failed", "applicator_rollback", "gate_failed", "axe_regression", "max_rounds_reached"])
-def test_loop_stops(spark, case, monkeypatch):
+def test_loop_stops(spark, case):
     html = pages(spark, "words here")
     ident = html.select(elements.valid_ids(F.col("html")).alias("v")).first()["v"][0]
-    scorer, hook = score.offline_scorer, []
+    scorer, hook, applicator = score.offline_scorer, [], apply.apply_patches
 
     def provider(turn, active):
         m = {"gpt": [issue(ident, "x", f'lang="l{turn}"')]}
@@ -180,12 +180,12 @@ def test_loop_stops(spark, case, monkeypatch):
         return out.withColumn("failed", F.lit(case == "reviewers_failed"))
 
     if case == "applicator_rollback":
-        monkeypatch.setattr(apply, "apply_patches", lambda h, p: F.struct(h.alias("html"), F.lit(False).alias("ok"), F.lit("e").alias("error"), F.array().cast("array<string>").alias("log")))
+        applicator = lambda h, p, c: F.struct(h.alias("html"), F.lit(False).alias("ok"), F.lit("e").alias("error"), F.array().cast("array<string>").alias("log"))
     if case == "gate_failed":
-        monkeypatch.setattr(apply, "apply_patches", lambda h, p: F.struct(F.lit("<p></p>").alias("html"), F.lit(True).alias("ok"), F.lit("").alias("error"), F.array().cast("array<string>").alias("log")))
+        applicator = lambda h, p, c: F.struct(F.lit("<p></p>").alias("html"), F.lit(True).alias("ok"), F.lit("").alias("error"), F.array().cast("array<string>").alias("log"))
     if case == "axe_regression":
         scorer = lambda h: F.when(h.contains('lang="l1"'), F.from_json(F.lit('{"rules":[{"id":"a","impact":"minor","nodes":1}],"passes":1}'), model.SCORED)).otherwise(F.from_json(F.lit('{"rules":[],"passes":1}'), model.SCORED))
-    runs, rounds = loop.run_loop(html, provider, scorer=scorer, on_round=lambda t, df: hook.append(df.count()))
+    runs, rounds = loop.run_loop(html, provider, scorer=scorer, applicator=applicator, on_round=lambda t, df: hook.append(df.count()))
     r, status = runs.first(), [x["status"] for x in rounds.orderBy("round").collect()]
     want = {"no_more_reviews": (1, ["accepted", "no_more_reviews"]), "reviewers_failed": (0, ["reviewers_failed"]), "applicator_rollback": (0, ["applicator_rollback"]), "gate_failed": (0, ["gate_failed_reverted"]), "axe_regression": (0, ["axe_regression_reverted"]), "max_rounds_reached": (3, ["accepted"] * 3)}[case]
     assert (r["stopped_reason"], r["rounds_accepted"]) == (case, want[0])

@@ -3,8 +3,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from lumendoc.operators import loop, service
-from lumendoc.sources import readers, writers
+from lumendoc.operators import loop, report, segment, service
+from lumendoc.sources import readers, stages, writers
 from lumendoc.streaming import intake
 
 
@@ -56,6 +56,47 @@ def test_files(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_snapshots_come_back(spark, tmp_path):
+    pages = segment.build_html(spark.createDataFrame([(0, "# T\nPrices\n<table>\n<tr><td>1</td></tr>\n</table>"), (1, "plain")], "doc_id long, text string")).select("doc_id", "html")
+    runs, rounds = loop.run_loop(pages)
+    both = pages.withColumnRenamed("html", "baseline_html").join(runs.select("doc_id", "final_html"), "doc_id")
+    snaps = report.snapshots(runs, rounds, report.page_enhancements(both, "doc_id"))
+    writers.write_snapshots(snaps, f"{tmp_path}/s")
+    writers.write_index(report.snapshot_index(snaps), f"{tmp_path}/i")
+    back = {r["id"]: r for r in readers.read_snapshots(spark, f"{tmp_path}/s", lines=True).collect()}
+    for r in snaps.collect():
+        own = back[str(r["doc_id"])]
+        assert (own["stopped_reason"], own["final_html"], own["baseline"], own["final"]) == (r["stopped_reason"], r["final_html"], r["baseline"], r["final"])
+        assert [(x["round"], x["patches_applied"], x["score"], x["reviewers"]) for x in own["rounds"]] == [(x["round"], x["patches_applied"], x["score"], x["reviewers"]) for x in r["rounds"]]
+        assert [tuple(x) for x in own["enhancements"] or []] == [tuple(x) for x in r["enhancements"] or []]
+    assert {(r["doc_id"], r["enhancements"]) for r in spark.read.json(f"{tmp_path}/i").collect()} == {(0, 1), (1, 0)}
+
+
+def test_stages_build_only_what_is_new(spark, tmp_path):
+    built = []
+
+    def build(asked):
+        built.append(sorted(r[0] for r in asked.select("content").collect()))
+        return asked.select("digest", F.length("content").alias("n"))
+
+    docs = lambda texts: spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    run = lambda texts: sorted((r["k"], r["n"]) for r in stages.Stage(spark, f"{tmp_path}/st", build).run(docs(texts), "text").collect())
+    texts = [f"text {k}" for k in range(100)] + [None, "", "text 1"]
+    assert run([]) == []
+    assert run(texts) == [(k, len(t or "")) for k, t in enumerate(texts)]
+    texts[40] = "changed"
+    assert run(texts) == [(k, len(t or "")) for k, t in enumerate(texts)] and built[-1] == ["changed"]
+    n = len(built)
+    assert run(texts[::-1])[0] == (0, 6) and len(built) == n
+    # a part that no list names does not count, and what two drivers built is told once
+    stage = stages.Stage(spark, f"{tmp_path}/st", build)
+    extra = stage.results().withColumn("stage_part", F.lit("part-zz"))
+    extra.withColumn("n", F.col("n") + 1).write.parquet(f"{tmp_path}/st/part-zz")
+    assert run(texts) == [(k, len(t or "")) for k, t in enumerate(texts)]
+    stage.publish("part-zz")
+    assert len(run(texts)) == len(texts)
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, "T\nx"), (2, "U")], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
     docs = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/d")
