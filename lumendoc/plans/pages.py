@@ -30,7 +30,7 @@ _TEXT = lambda x: _STRIP.format(rf"replace(replace(regexp_replace({x}, '<[^>]*>'
 
 
 @query(rf"""
-SELECT page_id, 'article' AS tag, 'div' AS before_tag, sha256({_TEXT("regexp_extract(html, '<div class=\"ad\">(.*?)</div>', 1)")}) AS label FROM pages
+SELECT page_id, 'article' AS tag, 'div' AS before_tag, sha256({_TEXT("regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)")}) AS label FROM pages
 UNION ALL SELECT page_id, 'footer', 'article', sha256({_TEXT("regexp_extract(html, '(?s)<article>(.*)</article>', 1)")}) FROM pages""")
 def previous_siblings(spark, d):
     """What stands before the article and the footer of a page, and says something."""
