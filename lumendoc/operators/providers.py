@@ -47,7 +47,8 @@ def reviewer_provider(reviewers: dict[str, Callable[[str], str]], retries: int =
 
     Pages are clipped for the reviewers, while valid ids come from the whole
     page.  One reviewer's failure leaves the others'; if all fail, so does the
-    page's round.  ``partitions`` bounds how many calls run at once.
+    page's round.  The health tells who answered.  ``partitions`` bounds how many
+    calls run at once.
     """
     names = list(reviewers)
 
@@ -66,7 +67,8 @@ def reviewer_provider(reviewers: dict[str, Callable[[str], str]], retries: int =
         pairs = ok.join(found, ["doc_id", "reviewer"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "reviewer", "issues"))).alias("p"))
         none = F.array().cast(model.REVIEWS[len("map<string,") : -1])
         told = pairs.select("doc_id", F.map_from_entries(F.transform("p", lambda x: F.struct(x["reviewer"], F.coalesce(x["issues"].cast(model.REVIEWS[len("map<string,") : -1]), none)))).alias("reviews"))
-        return active.select("doc_id").join(told, "doc_id", "left").select("doc_id", "reviews", F.col("reviews").isNull().alias("failed"))
+        met = F.transform(F.array(*map(F.lit, names)), lambda r: F.struct(r, F.when(F.array_contains(F.map_keys("reviews"), r), "success").otherwise("failed")))
+        return active.select("doc_id").join(told, "doc_id", "left").select("doc_id", "reviews", F.col("reviews").isNull().alias("failed"), F.when(F.col("reviews").isNotNull(), F.map_from_entries(met)).alias("health"))
 
     return provide
 

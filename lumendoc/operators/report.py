@@ -74,6 +74,12 @@ def comment_block(s: Column, severity: Column, rules: Column, n_images: Column,
     return F.array_join(F.concat(head, some(rules, F.concat(F.array(F.lit("    Violation rules:")), listed)), some(duplicates, twice), F.array(F.lit("-->"))), "\n")
 
 
+def with_comment(pages: DataFrame, comment: Column, html: str = "html") -> DataFrame:
+    """Pages with the audit comment before them; ``--`` inside it, which would end it, is parted."""
+    inner = F.replace(F.substring(comment, F.lit(5), F.length(comment) - 7), F.lit("--"), F.lit("- -"))
+    return pages.withColumn(html, F.concat(F.lit("<!--"), inner, F.lit("-->\n"), F.col(html)))
+
+
 def snapshots(runs: DataFrame, rounds: DataFrame, added: DataFrame) -> DataFrame:
     """One row a document: baseline, its accepted rounds, final, and the added attributes."""
     r = round_summaries(rounds, "doc_id")

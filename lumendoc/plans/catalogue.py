@@ -547,4 +547,5 @@ def final_confidence(spark, d):
     return at.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line"), R.final_confidence(of("l_discount"), of("l_tax")).alias("confidence"))
 
 
-from . import pages as _pages  # noqa: E402, F401  its queries are registered here
+from . import answers as _answers  # noqa: E402, F401  their queries are registered here
+from . import pages as _pages  # noqa: E402, F401
