@@ -67,10 +67,10 @@ _FIELDS = ("stack", "open_tables", "body", "all", "inner", "images", "headings",
 _CLOSES = {t: sorted(k for k, v in dom.CLOSED_BY.items() if t in v) for t in sorted(set().union(*dom.CLOSED_BY.values()))}
 
 
-def _more_words(count: Column, text: Column) -> Column:
-    n = F.regexp_count(text, F.lit(f"[^{_BLANKS}]+"))
-    joins = count["open"] & ~text.rlike(rf"\A{WS}")
-    return F.struct((count["n"] + n - joins.cast("int")).cast("int").alias("n"), (~text.rlike(rf"{WS}\z")).alias("open"))
+def _more_words(count: Column, piece: Column) -> Column:
+    """Words go on across pieces: what is open joins a text that does not begin with a blank."""
+    joins = count["open"] & piece["begins"]
+    return F.struct((count["n"] + piece["n"] - joins.cast("int")).cast("int").alias("n"), piece["ends"].alias("open"))
 
 
 def _opened(stack: Column, tag: Column) -> Column:
@@ -129,21 +129,37 @@ def _step(s: Column, token: Column) -> Column:
         new = {"stack": stack, "body": F.when(x["body"] == F.size(x["stack"]), -1).otherwise(x["body"])}
         return F.struct(*(new.get(k, x[k]).alias(k) for k in _FIELDS))
 
-    def text(t: Column) -> Column:
-        return _let(t, lambda x: state(all=_more_words(s["all"], x), inner=F.when(s["body"] > 0, _more_words(s["inner"], x)).otherwise(s["inner"])))
+    def text() -> Column:
+        return state(all=_more_words(s["all"], token), inner=F.when(s["body"] > 0, _more_words(s["inner"], token)).otherwise(s["inner"]))
 
-    is_tag, ends = token.rlike(r"\A</?[A-Za-z]"), F.startswith(token, F.lit("</"))
-    raw = token.rlike(rf"(?i)\A<(?:{_RAW})[\s/>]")
-    alone = F.endswith(token, F.lit("/>")) & ~tag_name(token).isin(*sorted(dom.VOID))
+    tag = token["tag"]
     return (
-        F.when(raw | token.rlike(r"\A<[!?]"), s)
-        .when(is_tag & ends, end(_closed(s["stack"], tag_name(token))))
-        .when(is_tag & alone, _let(start(tag_name(token)), shut))
-        .when(is_tag, start(tag_name(token)))
-        .otherwise(_let(visible(token), lambda v: F.when(v == "", s).otherwise(text(v))))
+        F.when(tag.isNull(), F.when(token["n"] < 0, s).otherwise(text()))
+        .when(token["kind"] == 1, end(_closed(s["stack"], tag)))
+        .when(token["kind"] == 2, _let(start(tag), shut))
+        .otherwise(start(tag))
     )
 
 
+def _piece(token: Column) -> Column:
+    """A token for the fold: tag and kind (a start tag 0, an end tag 1, one that ends itself 2), or of text its words
+    (n; -1 for what is not seen) and whether it begins and ends with one."""
+    none = [F.lit(None).cast("string").alias("tag"), F.lit(0).alias("kind")]
+
+    def of_text(x: Column) -> Column:
+        n = F.when(x == "", -1).otherwise(F.regexp_count(x, F.lit(f"[^{_BLANKS}]+"))).cast("int")
+        return F.struct(*none, n.alias("n"), (~x.rlike(rf"\A{WS}")).alias("begins"), (~x.rlike(rf"{WS}\z")).alias("ends"))
+
+    unseen = F.struct(*none, F.lit(-1).alias("n"), F.lit(False).alias("begins"), F.lit(False).alias("ends"))
+
+    def of_tag(tag: Column) -> Column:
+        kind = F.when(second == "/", 1).when(F.endswith(token, F.lit("/>")) & ~tag.isin(*sorted(dom.VOID)), 2).otherwise(0)
+        return F.when(tag.isin(*sorted(dom.RAW)) & (second != "/"), unseen).otherwise(F.struct(tag.alias("tag"), kind.alias("kind"), F.lit(-1).alias("n"), F.lit(False).alias("begins"), F.lit(False).alias("ends")))
+
+    second = F.substring(token, 2, 1)
+    return F.when(~F.startswith(token, F.lit("<")) | (token == "<"), _let(visible(token), of_text)).when(second.isin("!", "?"), unseen).otherwise(_let(tag_name(token), of_tag))
+
+
 def measure(html: Column) -> Column:
     """Visible words (of the body, if there is one), images, heading levels, rows and cells of every table with all that it holds."""
     none = F.struct(F.lit(0).alias("n"), F.lit(False).alias("open"))
@@ -152,4 +168,4 @@ def measure(html: Column) -> Column:
         F.lit(0).alias("images"), F.array().cast("array<int>").alias("headings"), F.array().cast("array<struct<rows int, cells int>>").alias("tables"),
     )
     done = lambda s: F.struct(F.when(s["body"] != 0, s["inner"]["n"]).otherwise(s["all"]["n"]).alias("words"), s["images"].alias("images"), s["headings"].alias("headings"), s["tables"].alias("tables"))
-    return F.aggregate(tokens(html), zero.cast(_STATE), lambda s, t: _step(s, t).cast(_STATE), done)
+    return F.aggregate(F.transform(tokens(html), _piece), zero.cast(_STATE), _step, done)
