@@ -65,8 +65,8 @@ def targets(sources: DataFrame) -> DataFrame:
     return w.select("source", "source_size", "weight", F.least("cap", F.coalesce(F.col("water"), F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def newton_rates(bins: DataFrame, goals: DataFrame) -> DataFrame:
-    """Solve the dual; adds ``rate`` to ``goals``.
+def newton_rates(bins: DataFrame, goals: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
+    """Solve the dual; adds ``rate`` to ``goals``. Raises if the steps do not suffice.
 
     A step reads the bins (source, size, n), sums the gradient and the
     curvature of every source in one aggregation and moves each lambda; the
@@ -75,7 +75,7 @@ def newton_rates(bins: DataFrame, goals: DataFrame) -> DataFrame:
     """
     solvable = (F.col("target") > 0) & (F.col("source_size") > 0)
     duals = goals.where(solvable).select("source", "target", F.lit(0.0).alias("dual"))
-    for _ in range(MAX_STEPS):
+    for _ in range(max_steps):
         at = bins.alias("b").join(duals.alias("d"), F.col("b.source").eqNullSafe(F.col("d.source")))
         curved = at.groupBy(F.col("d.source").alias("source"), "target", "dual").agg(F.sum(F.col("size") * F.col("n") * F.exp("dual")).alias("h"))
         # where the step down would overshoot, as for the convex exponential, it is damped to one unit
@@ -85,6 +85,8 @@ def newton_rates(bins: DataFrame, goals: DataFrame) -> DataFrame:
         duals = moved.select("source", "target", "dual")
         if off is None or off <= TOLERANCE:
             break
+    else:
+        raise ArithmeticError(f"the dual's largest miss is still {off:.3g} of a target after {max_steps} steps")
     solved = duals.select(F.col("source").alias("s"), F.exp("dual").alias("rate"))
     return goals.join(solved, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", F.least(F.coalesce("rate", F.lit(0.0)), F.lit(float(MOST))).alias("rate"))
 

@@ -99,3 +99,11 @@ def test_encoding_rows_that_share_an_id(spark, request):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = collections.Counter((r["doc_id"], len(r["ids"]), r["same"]) for r in encode(docs, same="same").collect())
     assert sum(got.values()) == 5 and all(k[2] for k in got) and got[(None, 1, True)] == 1 and got[(1, 1, True)] == 1
+
+
+def test_mixing_tells_when_steps_do_not_suffice(spark):
+    bins = spark.createDataFrame([("a", 5, 10), ("b", 7, 1000)], "source string, size long, n long")
+    goals = mixing.targets(spark.createDataFrame([("a", 50), ("b", 7000)], "source string, source_size long"))
+    assert mixing.newton_rates(bins, goals).count() == 2
+    with pytest.raises(ArithmeticError, match="after 1 steps"):
+        mixing.newton_rates(bins, goals, max_steps=1)
