@@ -219,3 +219,18 @@ def test_model_json(spark):
     texts = ['{"new_value": "a", "safe": true}', 'Sure: {"new_value": "b", "safe": false} ok', "none"]
     got = [r["j"] for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k").select(reviews.model_json(F.col("t")).alias("j")).collect()]
     assert got[0]["new_value"] == "a" and got[1]["new_value"] == "b" and got[2] is None
+
+
+def test_gate_takes_other_checks(spark):
+    df = spark.createDataFrame([(BASE, BASE.replace("<img src='x' alt='y'>", ""))], "original string, patched string")
+    no_images = lambda o, p: F.struct(F.lit("no_images").alias("name"), (p["images"] == 0).alias("passed"), F.lit("").alias("detail"))
+    r = gate.run_gate(df, checks=[gate.text_coverage, no_images]).first()
+    assert r["gate_passed"] and [c["name"] for c in r["gate_checks"]] == ["text_coverage", "no_images"]
+    assert [c["name"] for c in gate.run_gate(df).first()["gate_checks"]] == [c.__name__ for c in gate.CHECKS]
+
+
+def test_comment_before_the_page(spark):
+    df = spark.createDataFrame([("<!DOCTYPE html>\n<p>x</p>", "<!--\n  a -- b --> c\n-->")], "html string, c string")
+    out = report.with_comment(df, F.col("c")).first()["html"]
+    assert out == "<!--\n  a - - b - -> c\n-->\n<!DOCTYPE html>\n<p>x</p>" and dom.measure(out)["words"] == 1
+    assert apply.apply_all(out, [])["html"].startswith(out[: out.index("<!DOCTYPE")])
