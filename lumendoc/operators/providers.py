@@ -2,14 +2,17 @@
 
 A call that fails is repeated ``retries`` times with growing pauses inside its
 row; then its answer is null.  Errors are counted by kind only, so no message
-with a secret reaches a column.  A task that is run again repeats its calls;
-what they gave is therefore written before it is used.
+with a secret reaches a column.  What calls gave is written before it is used;
+with a ledger it is also kept by page, reviewer and round, so that a loop that is
+run again calls nobody for an answer that is there.  A task that is lost before
+its answers are written repeats its own calls only.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,22 +22,30 @@ from lumendoc import model
 from lumendoc.functions import text as X
 from lumendoc.functions.arrow import arrow_function
 from lumendoc.session import materialize
+from lumendoc.sources.stages import Stage
 
 from . import elements, reviews
 from .loop import ReviewsProvider
 
 RETRIES, BACKOFF = 1, 2.0
+#: Between the parts of what a ledger keeps an answer for.
+NUL = "\x00"
 
 
-def called(f: Callable, *args, retries: int = RETRIES, backoff: float = BACKOFF):
-    """The result of a call, null after so many failures."""
+def tried(f: Callable, *args, retries: int = RETRIES, backoff: float = BACKOFF) -> tuple:
+    """(result of a call, null after so many failures; calls made)."""
     for attempt in range(retries + 1):
         try:
-            return f(*args)
+            return f(*args), attempt + 1
         except Exception:  # noqa: BLE001  any failure of a provider is a missing answer
             if attempt < retries:
                 time.sleep(backoff ** (attempt + 1))
-    return None
+    return None, retries + 1
+
+
+def called(f: Callable, *args, **how):
+    """The result of a call, null after so many failures."""
+    return tried(f, *args, **how)[0]
 
 
 def available(reviewers: dict[str, Callable[[str], str]], settings: dict[str, str], needs: dict[str, str]) -> dict[str, Callable[[str], str]]:
@@ -42,24 +53,39 @@ def available(reviewers: dict[str, Callable[[str], str]], settings: dict[str, st
     return {n: f for n, f in reviewers.items() if n not in needs or settings.get(needs[n])}
 
 
-def reviewer_provider(reviewers: dict[str, Callable[[str], str]], retries: int = RETRIES, backoff: float = BACKOFF, partitions: int | None = None) -> ReviewsProvider:
+def reviewer_provider(reviewers: dict[str, Callable[[str], str]], retries: int = RETRIES, backoff: float = BACKOFF, partitions: int | None = None, at_once: int = 1, ledger: str | None = None) -> ReviewsProvider:
     """Every active page goes to every reviewer; what they answer becomes issues.
 
     Pages are clipped for the reviewers, while valid ids come from the whole
     page.  One reviewer's failure leaves the others'; if all fail, so does the
     page's round.  The health tells who answered.  ``partitions`` bounds how many
-    calls run at once.
+    tasks make calls, ``at_once`` how many a task makes at a time.  ``ledger``: a
+    folder where answers are kept with the calls that they took, by what was
+    sent, to whom and in which round; failures are not kept, so they are asked
+    again.
     """
     names = list(reviewers)
 
-    @arrow_function("string")
-    def ask(who: pd.Series, html: pd.Series) -> pd.Series:
-        return pd.Series([called(reviewers[w], h, retries=retries, backoff=backoff) for w, h in zip(who, html)], dtype=object)
+    @arrow_function("struct<text string, tries int>")
+    def ask(who: pd.Series, html: pd.Series) -> pd.DataFrame:
+        with ThreadPoolExecutor(at_once) as pool:
+            return pd.DataFrame(list(pool.map(lambda w, h: tried(reviewers[w], h, retries=retries, backoff=backoff), who, html)), columns=["text", "tries"])
+
+    def build(asked: DataFrame) -> DataFrame:
+        """Answers for the ledger: (digest, content) to (digest, text, tries)."""
+        part = lambda k: F.split("content", NUL, 3)[k]
+        asked = asked.repartition(partitions, "digest") if partitions else asked
+        return materialize(asked.select("digest", ask(part(0), part(2)).alias("a")).select("digest", "a.*"), "ledger-answers").where("text IS NOT NULL")
 
     def provide(turn: int, active: DataFrame) -> DataFrame:
         fan = active.select("doc_id", X.clip(F.col("html")).alias("html"), elements.valid_ids(F.col("html")).alias("valid_ids"), F.posexplode(F.array(*map(F.lit, names))).alias("place", "reviewer"))
-        fan = fan.repartition(partitions, "doc_id", "reviewer") if partitions else fan
-        raw = materialize(fan.select("doc_id", "place", "reviewer", "valid_ids", ask("reviewer", "html").alias("text")), "reviewer-answers")
+        if ledger:
+            sent = fan.withColumn("sent", F.concat_ws(NUL, "reviewer", F.lit(str(turn)), F.coalesce("html", F.lit(""))))
+            told = Stage(fan.sparkSession, ledger, build).run(sent, "sent", how="left")
+        else:
+            fan = fan.repartition(partitions, "doc_id", "reviewer") if partitions else fan
+            told = fan.withColumn("text", ask("reviewer", "html")["text"])
+        raw = materialize(told.select("doc_id", "place", "reviewer", "valid_ids", "text"), "reviewer-answers")
         issues, failures = reviews.normalize(raw, "doc_id")
         one = F.struct("issue_pos", F.struct("issue_id", "wcag_criterion", "element_id", "issue", "impact", "confidence", "suggested_fix", "fix_type", "hallucinated").alias("i"))
         found = issues.groupBy("doc_id", "reviewer").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["i"]).alias("issues"))

@@ -21,7 +21,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LISTS = "_list-"
+#: Not hidden, as Spark reads no hidden files.
+LISTS = "list-"
 
 
 class Stage:
@@ -63,8 +64,8 @@ class Stage:
         own = self.parts()
         return self.spark.read.parquet(*(f"{self.path}/{p}" for p in own)) if own else None
 
-    def run(self, docs: DataFrame, content: str) -> DataFrame:
-        """``docs`` with their results; only what no part holds is built."""
+    def run(self, docs: DataFrame, content: str, how: str = "inner") -> DataFrame:
+        """``docs`` with their results; only what no part holds is built. ``how``: a left join keeps documents without a result."""
         digest = F.sha2(F.coalesce(F.col(content).cast("binary"), F.lit("").cast("binary")), 256)
         told = docs.withColumn("digest", digest)
         asked = told.select("digest", F.coalesce(content, F.lit("")).alias("content"))
@@ -81,4 +82,4 @@ class Stage:
             known = self.build(asked).withColumn("stage_part", F.lit(""))
         # where two drivers built the same, one part's rows count
         first = known.groupBy("digest").agg(F.min("stage_part").alias("stage_part"))
-        return told.join(known.join(first, ["digest", "stage_part"], "left_semi").drop("stage_part"), "digest").drop("digest")
+        return told.join(known.join(first, ["digest", "stage_part"], "left_semi").drop("stage_part"), "digest", how).drop("digest")

@@ -68,3 +68,33 @@ def test_judge_image_and_ocr_providers(spark):
     files = spark.createDataFrame([("/d/a.pdf", b"x")], "path string, content binary")
     assert readers.ocr_result(providers.ocr_provider(lambda c, n: f"# {n}")(files)).first()["markdown"] == "# a.pdf"
     assert elements.element_table(base, "doc_id").where(F.col("tag") == "img").count() == 1
+
+
+def test_ledger_calls_nobody_twice(spark, tmp_path):
+    """Calls are counted by the lines that they leave in a file; the second reviewer fails at first and is asked again."""
+    log = tmp_path / "calls"
+    log.write_text("")
+
+    def noted(name, html):
+        with open(log, "a") as f:
+            f.write(f"{name}\n")
+        return names_first(html)
+
+    def first(html):
+        return noted("first", html)
+
+    def second(html):
+        noted("second", html)
+        if len(open(log).read().split()) < 7:
+            raise RuntimeError("not yet")
+        return "[]"
+
+    ask = providers.reviewer_provider({"first": first, "second": second}, retries=1, backoff=0.0, at_once=3, partitions=1, ledger=f"{tmp_path}/ledger")
+    run = lambda turn: {r["doc_id"]: (sorted(r["reviews"]), r["failed"]) for r in ask(turn, page(spark)).collect()}
+    count = lambda: {n: open(log).read().split().count(n) for n in ("first", "second")}
+    assert run(1) == {1: (["first"], False), 2: (["first"], False)} and count() == {"first": 2, "second": 4}
+    assert run(1) == {1: (["first", "second"], False), 2: (["first", "second"], False)} and count() == {"first": 2, "second": 6}
+    assert run(1) == {1: (["first", "second"], False), 2: (["first", "second"], False)} and count() == {"first": 2, "second": 6}
+    assert run(2)[1] == (["first", "second"], False) and count() == {"first": 4, "second": 8}
+    kept = providers.Stage(spark, f"{tmp_path}/ledger", None).results()
+    assert kept.count() == 8 and {r["tries"] for r in kept.collect()} == {1}
