@@ -26,7 +26,7 @@ def table_shapes(spark, d):
     return structure.table_shapes(_t(spark, d, "pages").select("page_id", html.alias("html")), "page_id")
 
 
-_TEXT = lambda x: _STRIP.format(rf"replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&amp;', '&')")
+_TEXT = lambda x: _STRIP.format(rf"replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&quot;', chr(34)), '&amp;', '&')")
 
 
 @query(rf"""
