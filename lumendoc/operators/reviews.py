@@ -129,13 +129,16 @@ def health(raw: DataFrame, *keys: str) -> DataFrame:
 def similar(a: str, b: str) -> bool:
     """Whether the ratio of matching blocks reaches FUZZY.
 
+    Texts that differ by case only are the same, also where capitals are more
+    letters ("ß"): the ratio of long ones leaves out their frequent characters.
+
     Two bounds of it that cost linear time come first: by the lengths, and by
     the characters that both hold, however placed.  Only texts that pass both
     have their blocks matched.
     """
-    a, b = a.lower(), b.lower()
-    if a == b:
+    if a.lower() == b.lower() or a.upper().casefold() == b.upper().casefold():
         return True
+    a, b = a.lower(), b.lower()
     matcher = difflib.SequenceMatcher(None, a, b)
     return matcher.real_quick_ratio() >= FUZZY and matcher.quick_ratio() >= FUZZY and matcher.ratio() >= FUZZY
 
