@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumendoc.functions.arrow import arrow_function
-from lumendoc.functions import markup, spans
+from lumendoc.functions import measures, spans
 
 ELEMENT = "array<struct<pos int, ir_id string, tag string, text string, alt string, empty boolean, attrs map<string,string>>>"
 
@@ -32,7 +32,7 @@ def element_array(html: Column, wanted: Column | None = None) -> Column:
 
 def measure(html: Column) -> Column:
     """Visible words, images, heading levels and table shapes of a page."""
-    return markup.measure(html)
+    return measures.measure(html)
 
 
 def element_table(pages: DataFrame, *keys: str, html: str = "html", wanted: Column | None = None) -> DataFrame:

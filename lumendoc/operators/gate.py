@@ -57,10 +57,11 @@ def run_gate(pairs: DataFrame, original: str = "original", patched: str = "patch
     checks: builders to use in place of ``CHECKS``.
 
     A row's two pages are read once each, by a fold over their tags inside the
-    row: no shuffle and no Python.
+    row, without a shuffle; a page that stayed as it was is not read again.
     """
     m = pairs.withColumn("_o", measure(F.col(original)))
-    m = m.withColumn("_p", F.when(F.col(patched) == F.col(original), F.col("_o")).otherwise(measure(F.col(patched))))
+    same = F.col(patched).eqNullSafe(F.col(original))
+    m = m.withColumn("_p", measure(F.when(~same, F.col(patched)))).withColumn("_p", F.when(same, F.col("_o")).otherwise(F.col("_p")))
     m = m.withColumn("gate_coverage", coverage(F.col("_o.words"), F.col("_p.words")))
     m = m.withColumn("gate_checks", F.array(*(c(F.col("_o"), F.col("_p")) for c in (CHECKS if checks is None else checks)))).drop("_o", "_p")
     failed = F.transform(F.filter("gate_checks", lambda c: ~c["passed"]), lambda c: c["name"])
