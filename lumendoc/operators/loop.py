@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lumendoc.functions.arrow import arrow_function
 from lumendoc import model
 from lumendoc.functions import dom
-from lumendoc.session import materialize
+from lumendoc.session import materialize, spread
 
 from . import apply, elements, gate, judge, reviews, score
 
@@ -165,7 +165,7 @@ def run_loop(
     round, with their health so far.
     """
     first = score.summary(scorer(F.col("html")))
-    state = baseline.select("doc_id", "html").withColumn("s", first)
+    state = spread(baseline.select("doc_id", "html"), "doc_id").withColumn("s", first)
     state = state.select("doc_id", "html", F.col("s").alias("baseline"), F.col("s").alias("last"), F.col("s.violations").alias("violations"), F.lit(0).alias("rounds_accepted"), F.lit(False).alias("canonical"), F.array().cast(_HEALTH).alias("health"))
     active = materialize(state, "loop-state")
     finished, rounds = [], []

@@ -40,3 +40,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{workdir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by keys over all cores, for work that costs far more than its bytes tell.
+
+    Small rows lie in few file splits, and adaptive plans join small partitions;
+    a given number of partitions stays.
+    """
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
