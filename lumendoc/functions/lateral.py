@@ -45,5 +45,5 @@ class _Elements:
 
 def register(spark: SparkSession) -> None:
     """Make ``blocks`` and ``elements`` known to the session's SQL; null gives no rows."""
-    spark.udtf.register("blocks", udtf(_Blocks, useArrow=True))
-    spark.udtf.register("elements", udtf(_Elements, useArrow=True))
+    spark.udtf.register("blocks", udtf(_Blocks, useArrow=False))
+    spark.udtf.register("elements", udtf(_Elements, useArrow=False))
