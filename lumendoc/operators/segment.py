@@ -11,14 +11,13 @@ sequential; only documents with a table line go through an Arrow function.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumendoc.functions import text as X
+from lumendoc.functions.arrow import in_pieces
 
 BLOCK = "array<struct<kind string, level int, text string>>"
 BULLETS = ("- ", "* ", "• ")
@@ -99,17 +98,25 @@ def has_table(markdown: Column) -> Column:
     return F.coalesce(markdown.rlike(rf"(?U)(?m)^{X.WS}*<table"), F.lit(False))
 
 
-def with_blocks(docs: DataFrame, text: str = "text", out: str = "blocks") -> DataFrame:
-    """Append the array of blocks; null and empty texts have none."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T._parse_datatype_string(BLOCK))])
+#: Documents whose blocks are held as Python objects at a time.
+PIECE = 64
+_BLOCK = pa.list_(pa.struct([("kind", pa.string()), ("level", pa.int32()), ("text", pa.string())]))
+
+
+def _segmented(markdown: pa.Array) -> pa.Array:
+    """Blocks of the documents with tables; the others are null."""
+    of = lambda x: None if x is None else [dict(zip(("kind", "level", "text"), b)) for b in segment_text(x)]
+    return in_pieces(markdown, lambda own: pa.array([of(x) for x in own.to_pylist()], _BLOCK), _BLOCK, PIECE)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b[out] = [[dict(zip(("kind", "level", "text"), x)) for x in segment_text(t)] for t in b[text]]
-            yield b
 
-    plain = docs.where(~has_table(F.col(text))).withColumn(out, native_blocks(F.col(text)).cast(BLOCK))
-    return plain.unionByName(docs.where(has_table(F.col(text))).mapInPandas(run, schema))
+def with_blocks(docs: DataFrame, text: str = "text", out: str = "blocks") -> DataFrame:
+    """Append the array of blocks; null and empty texts have none.
+
+    One pass, in which only the texts with tables go through Python and nothing is shuffled.
+    """
+    md = F.col(text)
+    told = docs.withColumn("_tabled", F.when(has_table(md), md)).withColumn("_general", F.arrow_udf(_segmented, BLOCK)(F.col("_tabled")))
+    return told.withColumn(out, F.when(F.col("_tabled").isNotNull(), F.col("_general")).otherwise(native_blocks(md).cast(BLOCK))).drop("_tabled", "_general")
 
 
 def explode_blocks(blocked: DataFrame, *keys: str, blocks: str = "blocks") -> DataFrame:
