@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lumendoc.functions.arrow import arrow_function
+from lumendoc.functions.arrow import in_pieces
 from lumendoc.functions import measures, spans
 
 ELEMENT = "array<struct<pos int, ir_id string, tag string, text string, alt string, empty boolean, attrs map<string,string>>>"
 
 
-@arrow_function(ELEMENT)
-def _all_elements(html: pd.Series) -> pd.Series:
-    return html.map(spans.identified)
+#: Pages whose elements are held as Python objects at a time.
+PIECE = 16
+_FIELDS = [("pos", pa.int32()), ("ir_id", pa.string()), ("tag", pa.string()), ("text", pa.string()), ("alt", pa.string()), ("empty", pa.bool_()), ("attrs", pa.map_(pa.string(), pa.string()))]
+_ELEMENT = pa.list_(pa.struct(_FIELDS))
+
+
+def _told(found: list[list[dict]]) -> pa.Array:
+    return pa.array([[e | {"attrs": list(e["attrs"].items())} for e in page] for page in found], _ELEMENT)
+
+
+def _all_elements(html: pa.Array) -> pa.Array:
+    return in_pieces(html, lambda own: _told([spans.identified(x) for x in own.to_pylist()]), _ELEMENT, PIECE)
 
 
-@arrow_function(ELEMENT)
-def _wanted_elements(html: pd.Series, wanted: pd.Series) -> pd.Series:
-    return pd.Series([spans.identified(h, frozenset(() if w is None else w)) for h, w in zip(html, wanted)], dtype=object)
+def _wanted_elements(html: pa.Array, wanted: pa.Array) -> pa.Array:
+    both = pa.StructArray.from_arrays([html, wanted], ["html", "wanted"])
+    return in_pieces(both, lambda own: _told([spans.identified(x["html"], frozenset(x["wanted"] or ())) for x in own.to_pylist()]), _ELEMENT, PIECE)
 
 
 def element_array(html: Column, wanted: Column | None = None) -> Column:
     """Identified elements of a page in order; ``wanted``: an array of the identifiers that are asked for, so that no others leave the scan."""
-    return _all_elements(html) if wanted is None else _wanted_elements(html, wanted)
+    return F.arrow_udf(_all_elements, ELEMENT)(html) if wanted is None else F.arrow_udf(_wanted_elements, ELEMENT)(html, wanted)
 
 
 def measure(html: Column) -> Column:

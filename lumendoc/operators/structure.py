@@ -19,25 +19,36 @@ implication end where the closing tag begins.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumendoc.functions.arrow import arrow_function
+from lumendoc.functions.arrow import in_pieces
 from lumendoc.functions import spans
 from lumendoc.functions import text as X
 
 SPAN = "pre int, post int, depth int, parent int, tag string, ir_id string, start int, inner int, close int, stop int, text_start int, text_stop int"
 
 
-@arrow_function(f"struct<text string, elements array<struct<{SPAN}>>>")
-def _scan(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([spans.scan(x) for x in html], columns=["text", "elements"])
+#: Pages whose elements are held as Python objects at a time.
+PIECE = 16
+_SPANS = pa.list_(pa.struct([(n, pa.string() if t == "string" else pa.int32()) for n, t in (f.split() for f in SPAN.split(", "))]))
+_SCANNED = pa.struct([("text", pa.string()), ("elements", _SPANS)])
 
 
-def scanned(html: Column) -> Column:
-    """The page's visible text, and its elements in order."""
-    return _scan(html)
+def scanned(html: Column, tags: tuple[str, ...] | None = None) -> Column:
+    """The page's visible text, and its elements in order; ``tags``: those that are asked for, so that no others leave the scan, nor does the text."""
+
+    def of(own: pa.Array) -> pa.Array:
+        found = [spans.scan(x) for x in own.to_pylist()]
+        if tags is not None:
+            found = [{"text": None, "elements": [e for e in x["elements"] if e["tag"] in tags]} for x in found]
+        return pa.array(found, _SCANNED)
+
+    def scan(html: pa.Array) -> pa.Array:
+        return in_pieces(html, of, _SCANNED, PIECE)
+
+    return F.arrow_udf(scan, f"struct<text string, elements array<struct<{SPAN}>>>")(html)
 
 
 def element_spans(pages: DataFrame, *keys: str, html: str = "html") -> DataFrame:
@@ -54,7 +65,7 @@ def table_shapes(pages: DataFrame, *keys: str, html: str = "html") -> DataFrame:
 
     A row or cell is a table's own if no other table stands between them.
     """
-    some = F.filter(scanned(F.col(html))["elements"], lambda e: e["tag"].isin("table", "tr", "td", "th"))
+    some = scanned(F.col(html), ("table", "tr", "td", "th"))["elements"]
     at = pages.select(*keys, some.alias("e")).withColumn("tables", F.filter("e", lambda e: e["tag"] == "table"))
     at = at.where(F.size("tables") > 0).select(*keys, F.filter("e", lambda e: e["tag"] != "table").alias("parts"), "tables", F.posexplode("tables").alias("nth", "t"))
     t = F.col("t")
