@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[\s\x1c-\x1f]"
+#: The same characters; a trim by them looks at the ends only, where a pattern would try every place of the text.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: A block of front matter names one of these.
 META_KEYS = ("primary_language", "is_rotation_valid", "rotation_correction", "is_table", "is_diagram", "total-input-tokens", "Page dimensions")
 #: Fixed value: identifiers are of page 1.
@@ -20,12 +22,12 @@ CONTEXT_CHARS = 150
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
     """White space runs become one space, none at the ends."""
-    return strip(F.regexp_replace(c, rf"(?U){WS}+", " "))
+    return F.trim(F.regexp_replace(c, rf"(?U){WS}+", " "))
 
 
 def element_id(salt: Column) -> Column:
@@ -51,8 +53,8 @@ HEADING = rf"(?Us)\A(#+){WS}+(.+)\z"
 
 
 def heading_depth(line: Column) -> Column:
-    """Number signs of a (stripped) heading line, 0 if it is none."""
-    return F.length(F.regexp_extract(line, HEADING, 1))
+    """Number signs of a (stripped) heading line, 0 if it is none; the pattern reads only lines that begin with one."""
+    return F.when(~F.startswith(line, F.lit("#")), F.lit(0)).otherwise(F.length(F.regexp_extract(line, HEADING, 1)))
 
 
 def heading_text(line: Column) -> Column:
@@ -61,10 +63,9 @@ def heading_text(line: Column) -> Column:
 
 def strip_front_matter(markdown: Column) -> Column:
     """Pieces between dash lines, without blank ones and those that hold metadata."""
-    pieces = F.split(markdown, r"(?md)^---\s*$")
+    pieces = F.when(~markdown.contains("---"), F.array(markdown)).otherwise(F.split(markdown, r"(?md)^---\s*$"))
     is_meta = lambda p: p.contains(":") & _any_of(p, META_KEYS)
-    kept = F.transform(F.filter(pieces, lambda p: ~is_meta(p) & (strip(p) != "")), strip)
-    return strip(F.array_join(kept, "\n\n"))
+    return F.array_join(F.filter(F.transform(pieces, strip), lambda p: ~is_meta(p) & (p != "")), "\n\n")
 
 
 def _any_of(c: Column, needles: tuple[str, ...]) -> Column:

@@ -95,7 +95,7 @@ def segment_text(markdown: str | None) -> list[tuple[str, int, str]]:
 
 
 def has_table(markdown: Column) -> Column:
-    return F.coalesce(markdown.rlike(rf"(?U)(?m)^{X.WS}*<table"), F.lit(False))
+    return F.coalesce(markdown.contains("<table") & markdown.rlike(rf"(?U)(?m)^{X.WS}*<table"), F.lit(False))
 
 
 #: Documents whose blocks are held as Python objects at a time.
